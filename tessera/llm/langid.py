@@ -15,7 +15,7 @@ from tessera.llm.common import table, tuned
 #: Labelled rows learned from at most, those of least hash.
 TRAIN_ROWS = 1_500
 HIDDEN, WINDOW = 16, 32
-STEPS, BATCH, RATE = 700, 384, 0.01
+STEPS, BATCH, RATE = 450, 384, 0.01
 #: Words whose sums a Python worker remembers at once, and words run through the network together.
 CACHE_WORDS, RUN = 700_000, 2048
 UNKNOWN = "und"
