@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _name in ("packing", "minhash", "toxicity", "langid"):
+for _name in ("packing", "minhash", "toxicity", "langid", "mixing"):
     _module = importlib.import_module(f"tessera.llm.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
