@@ -3,21 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import written
-from tessera.llm.packing import pack
+from tessera.llm import minhash, mixing, packing, pii, toxicity
+from tessera.llm.common import sized, table, written
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold, by a lexicon learned from them and ``labels``."""
+    lexicon = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, lexicon).where("predicted = 0").select(docs.columns)
 
 
-STAGES = [("packing", packing)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, that of the least doc_id."""
+    dropped = written(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    return docs.join(sized(dropped), "doc_id", "left_anti").select(docs.columns)
+
+
+def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and terms that disclose it replaced in the text; ``n_chars`` follows."""
+    clean = pii.sanitised(docs).withColumn("text", F.col("clean_text"))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast("long"))
+    return clean.select(docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of each source up to its budget, again for each epoch that they are chosen in."""
+    return mixing.mixed(docs).select(docs.columns)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in fixed-length sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", toxicity_filter), ("near_duplicates", near_duplicates), ("sanitisation", sanitisation), ("mixing", source_mixing), ("packing", sequence_packing)]
+#: SQL can't express stages 1, 2 and 5; tests hold each stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """What the last stage returns; the others' results are written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
