@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "pair_keyword_topk"
+MODULES = ["pair_queries"]
 
 
 def query(name: str, sql: str | None = None):
@@ -21,3 +22,11 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"tessera.plans.{name}")
