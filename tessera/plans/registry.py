@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "pair_keyword_topk"
-MODULES = ["pair_queries"]
+MODULES = ["pair_queries", "text_queries", "edit_queries"]
 
 
 def query(name: str, sql: str | None = None):
