@@ -12,8 +12,8 @@ from tessera.llm.shingles import WORDS, counted, overlaps, shingles
 
 BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
-#: Star rounds in buckets before what is left is compared outright.
-STAR_ROUNDS = 3
+#: Further star rounds in buckets, for members that the first leaves in other components.
+STAR_ROUNDS = 2
 #: Points made at once.
 POINTS = 1 << 20
 
@@ -111,53 +111,103 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     return both.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
+def elements(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(key, n, e): each text's multiset as a set of n elements, the k-th occurrence of a shingle being an element of its own."""
+
+    def run(batches):
+        for batch in batches:
+            for i, _, buf, off in byte_slices(batch.column(1)):
+                doc, h, c = counted(*shingles(buf, off, words))
+                row = np.repeat(np.arange(len(doc)), c)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c)
+                with np.errstate(over="ignore"):
+                    e = mix(h[row] + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
+                n = np.bincount(doc[row], minlength=len(off) - 1)[doc[row]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + doc[row])), pa.array(n), pa.array(e.view(np.int64))], names=["key", "n", "e"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, n long, e long")
+
+
+def prefix_pairs(texts: DataFrame, placed: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """(a, b): pairs across components of ``placed`` (key, component, outside) that may overlap by ``similarity``, with a side outside at least.
+
+    Prefix filter: with elements in one order, rarest first, two sets that overlap so share one among the first
+    n - ceil(similarity n) + 1 elements of each, and their sizes differ by no more than the similarity. An element
+    that one text alone has takes up its prefix but can meet nothing, so a text that was edited too far from all
+    others drops out without being compared with them.
+    """
+    have = written(elements(texts.join(placed.select("key"), "key"), words))
+    common = have.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    least = have.join(common, "e").groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
+    length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("es"))
+    rows = least.withColumn("length", length.cast("int")).where("length > 0").select("key", "n", F.explode(F.expr("slice(es, 1, length)")).alias("x"))
+    rows = written(rows.select("key", "n", F.col("x.e").alias("e")).join(placed, "key"))
+    left = rows.where("outside").select("e", F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("component").alias("c1"))
+    right = rows.select("e", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
+    near = left.join(right, (left["e"] == right["e"]) & (F.col("c1") != F.col("c2")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-9))
+    return near.select(F.greatest("k1", "k2").alias("a"), F.least("k1", "k2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
     """(doc_id, class_id, kept): each document with the least doc_id of its class, and whether it is that one.
 
     Documents link where their multisets of ``words``-word shingles overlap (weighted Jaccard) by ``similarity`` at
     least; classes are the linked components. Texts of fewer words count as one shingle. Equal texts are one class
-    from the start and take part once. In each bucket of a band, members are compared with the bucket's least text;
-    those that it leaves in other components are compared with a new least text, some rounds long; what then still
-    lies in different components of a bucket is compared outright, so no link between texts that share a bucket is
-    lost and no group is expanded into pairs. Null, empty and wordless texts link with nothing and are kept; a null
-    doc_id gives a null class and is kept; rows repeated with their doc_id share its fate. No rows give none.
+    from the start and take part once. In each bucket of a band, members are compared with the text that has most
+    bucket-mates; those that it leaves in other components are compared with such a text among themselves, some
+    rounds long; what is then still apart in a bucket goes through an exact prefix filter, so no link between texts
+    that share a bucket is lost and no group is expanded into pairs. Null, empty and wordless texts link with nothing
+    and are kept; a null doc_id gives a null class and is kept; rows repeated with their doc_id share its fate. No
+    rows give none; other columns are ignored.
     """
     spark = tuned(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     sig = written(sign(docs, bands, rows, words))
     texts_once = written(sig.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("least"), F.count("*").alias("n")))
     buckets = texts_once.select("key", F.explode("least.bands").alias("band"))
-    shared = written(buckets.groupBy("band").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    shared = written(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     members = written(buckets.join(sized(shared), "band"))
-    wanted = written(members.select("key").distinct().join(texts_once.select("key", F.col("least.doc_id").alias("doc_id")), "key"))
+    mates = written(members.groupBy("key").agg(F.sum("n").alias("mates")))
+    wanted = written(mates.select("key").join(texts_once.select("key", F.col("least.doc_id").alias("doc_id")), "key"))
     texts = written(docs.withColumn("key", text_key()).join(sized(wanted), ["key", "doc_id"]).select("key", "text").dropDuplicates(["key"]))
+    members = written(members.join(sized(mates), "key").select("band", "key", F.struct("mates", "key").alias("rank")))
 
-    pairs = written(members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
-    tested, edges = pairs, written(verified(pairs, texts, similarity, words))
-    labels = components(edges, "a", "b")
+    def starred(members: DataFrame) -> DataFrame:
+        """Each member with its bucket's pivot, the one of most bucket-mates."""
+        return written(members.join(members.groupBy("band").agg(F.max("rank").alias("pivot")), "band").select("band", "key", "rank", F.col("pivot.key").alias("pivot")))
 
-    def outside(members: DataFrame) -> DataFrame:
+    def outside(starred: DataFrame) -> DataFrame:
         """Members that are in another component than their bucket's pivot; that is a member too."""
-        placed = members.join(labels, members["key"] == labels["node"], "left").select("band", "key", "pivot", F.coalesce("component", "key").alias("component"))
+        placed = starred.join(labels, starred["key"] == labels["node"], "left").select("band", "key", "rank", "pivot", F.coalesce("component", "key").alias("component"))
         head = placed.where("key = pivot").select("band", F.col("component").alias("head"))
-        return written(placed.join(head, "band").where("component <> head").select("band", "key", "component"))
-
-    everyone = members
-    for last in (False,) * STAR_ROUNDS + (True,):
-        out = outside(everyone if last else members)
-        if out.limit(1).count() == 0:
-            continue
-        if last:
-            every = everyone.join(labels, F.col("key") == F.col("node"), "left").select("band", F.col("key").alias("other"), F.coalesce("component", "key").alias("in"))
-            new = out.join(every, "band").where("component <> in").select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b"))
-        else:
-            members = written(out.join(out.groupBy("band").agg(F.min("key").alias("pivot")), "band").select("band", "key", "pivot"))
-            new = members.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-        new = written(new.distinct().join(tested, ["a", "b"], "left_anti"))
-        if new.limit(1).count():
-            edges = written(edges.union(verified(new, texts, similarity, words)))
+        return written(placed.join(head, "band").where("component <> head").select("band", "key", "rank"))
+
+    def compared(pairs: DataFrame) -> None:
+        nonlocal tested, edges, labels
+        new = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"])
+        if tested is not None:
+            new = new.join(tested, ["x", "y"], "left_anti")
+        new = written(new)
+        if new.limit(1).count() or tested is None:
+            found = written(verified(new.select("a", "b"), texts, similarity, words))
+            edges = found if edges is None else edges.union(found)
             labels = components(edges, "a", "b")
-            tested = tested.union(new)
+            tested = new.select("x", "y") if tested is None else tested.union(new.select("x", "y"))
+
+    tested = edges = labels = None
+    everyone = part = starred(members)
+    compared(part.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+    for _ in range(STAR_ROUNDS):
+        left = outside(part)
+        if left.limit(1).count() == 0:
+            break
+        part = starred(left)
+        compared(part.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+    left = outside(everyone)
+    if left.limit(1).count():
+        apart = everyone.join(left.select("band").distinct(), "band").select("key").distinct()
+        apart = apart.join(left.select("key").distinct().withColumn("outside", F.lit(True)), "key", "left").join(labels, F.col("key") == F.col("node"), "left")
+        compared(prefix_pairs(texts, written(apart.select("key", F.coalesce("component", "key").alias("component"), F.coalesce("outside", F.lit(False)).alias("outside"))), similarity, words))
     reps = texts_once.select("key", F.col("least.doc_id").alias("rep"), "n").join(labels, F.col("key") == F.col("node"), "left").where("n > 1 or component is not null")
     reps = written(reps.select("key", "rep", F.coalesce("component", "key").alias("component")))
     classes = written(reps.join(reps.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("key", "class_id"))

@@ -54,10 +54,10 @@ DET_SQL = f"""(select o_custkey as report_id, o_orderkey as det_idx, list_sort(c
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A claim for each line item: part (subject), return flag (predicate), line status (object), order (document)."""
+    """A claim for each line item: part and quantity (subject), return flag (predicate), line status (object), order (document)."""
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"),
-        F.col("l_partkey").alias("subject"),
+        (F.col("l_partkey") * 50 + F.col("l_quantity").cast("bigint")).alias("subject"),
         F.col("l_returnflag").alias("predicate"),
         F.col("l_linestatus").alias("object"),
         F.col("l_orderkey").alias("document"),
@@ -65,7 +65,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CLAIM_SQL = "(select l_orderkey * 10 + l_linenumber as claim_id, l_partkey as subject, l_returnflag as predicate, l_linestatus as object, l_orderkey as document, 'c' || (l_suppkey % 5) as category from lineitem)"
+CLAIM_SQL = "(select l_orderkey * 10 + l_linenumber as claim_id, l_partkey * 50 + l_quantity::bigint as subject, l_returnflag as predicate, l_linestatus as object, l_orderkey as document, 'c' || (l_suppkey % 5) as category from lineitem)"
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
