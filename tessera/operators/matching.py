@@ -67,7 +67,7 @@ def assigned(pairs: DataFrame, key: list[str]) -> DataFrame:
     while True:
         first = left.withColumn("ra", F.row_number().over(Window.partitionBy(*key, "a").orderBy(*order))).withColumn("rb", F.row_number().over(Window.partitionBy(*key, "b").orderBy(*order)))
         mutual = written(first.where("ra = 1 and rb = 1").drop("ra", "rb"))
-        taken = mutual if taken is None else taken.union(mutual)
+        taken = mutual if taken is None else taken.unionByName(mutual)
         left = written(left.join(mutual.select(*key, "a"), [*key, "a"], "left_anti").join(mutual.select(*key, "b"), [*key, "b"], "left_anti"))
         if left.limit(1).count() == 0:
             return taken

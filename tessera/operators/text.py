@@ -111,7 +111,7 @@ def diff_opcodes(pairs: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("tag", pa.string()), *[(k, pa.int32()) for k in ("i1", "i2", "j1", "j2")]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["id", "ops"])
 
-    kind = "id bigint, ops array<struct<tag: string, i1: int, i2: int, j1: int, j2: int>>"
+    kind = f"id {pairs.schema['id'].dataType.simpleString()}, ops array<struct<tag: string, i1: int, i2: int, j1: int, j2: int>>"
     changed = pairs.where("original <> modified").select("id", "original", "modified").mapInArrow(run, kind)
     return changed.unionByName(pairs.where("original = modified").select("id", F.array().cast("array<struct<tag: string, i1: int, i2: int, j1: int, j2: int>>").alias("ops")))
 
