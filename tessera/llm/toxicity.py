@@ -31,7 +31,7 @@ UNSEEN = re.compile("[­​-‏⁠﻿̀-ͯ]+")
 #: Not a letter: all of it becomes one space, so that terms are anchored at words.
 APART = re.compile(r"[\W\d_]+")
 #: A stand-in with no letter on its right is punctuation, one of digits alone a number.
-TRAILING = re.compile(r"[!|$@]+(?=\W|$)|(?<![^\W\d_])\d+(?![^\W\d_])")
+TRAILING = re.compile(r"[!|]+(?=\W|$)|(?<![^\W\d_])\d+(?![^\W\d_])")
 
 
 def fold(text: str) -> str:
