@@ -12,8 +12,8 @@ from tessera.llm.shingles import WORDS, counted, overlaps, shingles
 
 BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
-#: Further star rounds in buckets, for members that the first leaves in other components.
-STAR_ROUNDS = 2
+#: Texts of a block in the exact comparison of what stars leave apart.
+BLOCK = 256
 #: Points made at once.
 POINTS = 1 << 20
 
@@ -112,40 +112,83 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
 
 
 def elements(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """(key, n, e): each text's multiset as a set of n elements, the k-th occurrence of a shingle being an element of its own."""
+    """(key, es): each text's multiset as a sorted set of 64-bit elements, the k-th occurrence of a shingle being an element of its own."""
 
     def run(batches):
         for batch in batches:
-            for i, _, buf, off in byte_slices(batch.column(1)):
+            for i, j, buf, off in byte_slices(batch.column(1)):
                 doc, h, c = counted(*shingles(buf, off, words))
                 row = np.repeat(np.arange(len(doc)), c)
                 nth = np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c)
                 with np.errstate(over="ignore"):
                     e = mix(h[row] + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
-                n = np.bincount(doc[row], minlength=len(off) - 1)[doc[row]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + doc[row])), pa.array(n), pa.array(e.view(np.int64))], names=["key", "n", "e"])
-
-    return texts.select("key", "text").mapInArrow(run, "key binary, n long, e long")
-
+                parts = np.split(e, np.searchsorted(doc[row], np.arange(1, len(off) - 1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([np.sort(x).tobytes() for x in parts], pa.binary())], names=["key", "es"])
+
+    return texts.select("key", "text").mapInArrow(run, "key binary, es binary")
+
+
+def overlapping(asked: list[np.ndarray], have: list[np.ndarray], apart: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the sets that overlap by ``similarity`` where ``apart`` says that they are to be compared: shared elements counted through one sorted list of all elements."""
+    size = np.array([len(x) for x in have])
+    flat, owner = np.concatenate(have), np.repeat(np.arange(len(have)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    i_, j_ = [], []
+    for i, x in enumerate(asked):
+        near = apart[i] & (np.minimum(size, len(x)) >= similarity * np.maximum(size, len(x)) - 1e-9)
+        if not near.any():
+            continue
+        low, high = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
+        many = high - low
+        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        shared = np.bincount(owner[at], minlength=len(have))
+        hit = np.flatnonzero(near & (shared >= similarity * (size + len(x) - shared) - 1e-9) & (shared > 0))
+        i_.append(np.full(len(hit), i))
+        j_.append(hit)
+    return (np.concatenate(i_), np.concatenate(j_)) if i_ else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def across(texts: DataFrame, placed: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """(a, b): links between components of ``placed`` (key, component, pool, outside), where one side is outside.
+
+    Texts that buckets connect, linked or not, are a pool. Pools are cut into blocks of at most ``BLOCK`` texts, small
+    pools sharing one; the outside texts of a block meet each block of their pool as two rows, and all overlaps are
+    counted there exactly. Rows come out only for links, one for a text and component.
+    """
+    total = placed.count()
+    sizes = placed.groupBy("pool").agg(F.count("*").alias("size"))
+    spread = F.pmod(F.xxhash64("pool"), F.lit(max(1, total // BLOCK)))
+    cut = placed.join(sizes, "pool").withColumn("shelf", F.when(F.col("size") > BLOCK, F.xxhash64("pool")).otherwise(-1 - spread))
+    cut = cut.withColumn("block", F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("key"), F.ceil(F.col("size") * 1.2 / BLOCK))).otherwise(F.lit(0)))
+    rows = cut.join(elements(texts.join(placed.select("key"), "key"), words), "key")
+
+    def shelved(t: pa.Table) -> pa.Table:
+        # Rows of a block, in its first row's key and block; the lists travel inside.
+        return pa.table({
+            "shelf": t.column("shelf")[:1].combine_chunks(), "block": t.column("block")[:1].combine_chunks(),
+            **{c: pa.array([t.column(c).to_pylist()], k) for c, k in (("keys", pa.list_(pa.binary())), ("pools", pa.list_(pa.binary())), ("components", pa.list_(pa.binary())), ("es", pa.list_(pa.binary())), ("outside", pa.list_(pa.bool_())))},
+        })
+
+    lists = "keys array<binary>, pools array<binary>, components array<binary>, es array<binary>, outside array<boolean>"
+    named = rows.select("shelf", "block", F.col("key").alias("keys"), F.col("pool").alias("pools"), F.col("component").alias("components"), "es", "outside")
+    blocks = written(named.groupBy("shelf", "block").applyInArrow(shelved, f"shelf long, block long, {lists}"))
+    asks = blocks.where(F.exists("outside", lambda x: x)).select("shelf", *[F.col(c).alias(f"q_{c}") for c in ("keys", "pools", "components", "es", "outside")])
 
-def prefix_pairs(texts: DataFrame, placed: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """(a, b): pairs across components of ``placed`` (key, component, outside) that may overlap by ``similarity``, with a side outside at least.
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                out = [i for i, x in enumerate(r["q_outside"]) if x]
+                code = {p: i for i, p in enumerate({*r["pools"], *r["q_pools"], *r["components"], *r["q_components"]})}
+                pool, part = (np.array([code[x] for x in r[c]]) for c in ("pools", "components"))
+                q_pool, q_part = (np.array([code[r[c][i]] for i in out]) for c in ("q_pools", "q_components"))
+                apart = (q_pool[:, None] == pool[None, :]) & (q_part[:, None] != part[None, :])
+                i, j = overlapping([np.frombuffer(r["q_es"][k], "<u8") for k in out], [np.frombuffer(x, "<u8") for x in r["es"]], apart, similarity)
+                _, first = np.unique(np.stack([i, part[j]], 1), axis=0, return_index=True) if len(i) else (0, np.zeros(0, np.int64))
+                pairs = [(r["q_keys"][out[i[k]]], r["keys"][j[k]]) for k in first]
+                yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in pairs], pa.binary()), pa.array([min(x) for x in pairs], pa.binary())], names=["a", "b"])
 
-    Prefix filter: with elements in one order, rarest first, two sets that overlap so share one among the first
-    n - ceil(similarity n) + 1 elements of each, and their sizes differ by no more than the similarity. An element
-    that one text alone has takes up its prefix but can meet nothing, so a text that was edited too far from all
-    others drops out without being compared with them.
-    """
-    have = written(elements(texts.join(placed.select("key"), "key"), words))
-    common = have.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
-    least = have.join(common, "e").groupBy("key").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "e"))).alias("es"))
-    length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("es"))
-    rows = least.withColumn("length", length.cast("int")).where("length > 0").select("key", "n", F.explode(F.expr("slice(es, 1, length)")).alias("x"))
-    rows = written(rows.select("key", "n", F.col("x.e").alias("e")).join(placed, "key"))
-    left = rows.where("outside").select("e", F.col("key").alias("k1"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-    right = rows.select("e", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    near = left.join(right, (left["e"] == right["e"]) & (F.col("c1") != F.col("c2")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * similarity - 1e-9))
-    return near.select(F.greatest("k1", "k2").alias("a"), F.least("k1", "k2").alias("b")).distinct()
+    return blocks.drop("block", "outside").join(asks, "shelf").drop("shelf").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
@@ -154,11 +197,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     Documents link where their multisets of ``words``-word shingles overlap (weighted Jaccard) by ``similarity`` at
     least; classes are the linked components. Texts of fewer words count as one shingle. Equal texts are one class
     from the start and take part once. In each bucket of a band, members are compared with the text that has most
-    bucket-mates; those that it leaves in other components are compared with such a text among themselves, some
-    rounds long; what is then still apart in a bucket goes through an exact prefix filter, so no link between texts
-    that share a bucket is lost and no group is expanded into pairs. Null, empty and wordless texts link with nothing
-    and are kept; a null doc_id gives a null class and is kept; rows repeated with their doc_id share its fate. No
-    rows give none; other columns are ignored.
+    bucket-mates; those that this leaves in other components are compared exactly with all of their pool, block by
+    block, so no link between texts that share a bucket is lost and no pairs of a group are rows. Null, empty and
+    wordless texts link with nothing and are kept; a null doc_id gives a null class and is kept; rows repeated with
+    their doc_id share its fate. No rows give none; other columns are ignored.
     """
     spark = tuned(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -172,42 +214,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     texts = written(docs.withColumn("key", text_key()).join(sized(wanted), ["key", "doc_id"]).select("key", "text").dropDuplicates(["key"]))
     members = written(members.join(sized(mates), "key").select("band", "key", F.struct("mates", "key").alias("rank")))
 
-    def starred(members: DataFrame) -> DataFrame:
-        """Each member with its bucket's pivot, the one of most bucket-mates."""
-        return written(members.join(members.groupBy("band").agg(F.max("rank").alias("pivot")), "band").select("band", "key", "rank", F.col("pivot.key").alias("pivot")))
-
-    def outside(starred: DataFrame) -> DataFrame:
-        """Members that are in another component than their bucket's pivot; that is a member too."""
-        placed = starred.join(labels, starred["key"] == labels["node"], "left").select("band", "key", "rank", "pivot", F.coalesce("component", "key").alias("component"))
-        head = placed.where("key = pivot").select("band", F.col("component").alias("head"))
-        return written(placed.join(head, "band").where("component <> head").select("band", "key", "rank"))
-
-    def compared(pairs: DataFrame) -> None:
-        nonlocal tested, edges, labels
-        new = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"])
-        if tested is not None:
-            new = new.join(tested, ["x", "y"], "left_anti")
-        new = written(new)
-        if new.limit(1).count() or tested is None:
-            found = written(verified(new.select("a", "b"), texts, similarity, words))
-            edges = found if edges is None else edges.union(found)
-            labels = components(edges, "a", "b")
-            tested = new.select("x", "y") if tested is None else tested.union(new.select("x", "y"))
-
-    tested = edges = labels = None
-    everyone = part = starred(members)
-    compared(part.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-    for _ in range(STAR_ROUNDS):
-        left = outside(part)
-        if left.limit(1).count() == 0:
-            break
-        part = starred(left)
-        compared(part.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-    left = outside(everyone)
+    pivots = members.groupBy("band").agg(F.max("rank").alias("pivot"))
+    starred = written(members.join(pivots, "band").select("band", "key", F.col("pivot.key").alias("pivot")))
+    pairs = starred.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+    pairs = pairs.withColumns({"x": F.greatest("a", "b"), "y": F.least("a", "b")}).dropDuplicates(["x", "y"]).select("a", "b")
+    edges = written(verified(pairs, texts, similarity, words))
+    labels = components(edges, "a", "b")
+
+    # A pivot is a member of its bucket, so its component is found there.
+    placed = starred.join(labels, starred["key"] == labels["node"], "left").select("band", "key", "pivot", F.coalesce("component", "key").alias("component"))
+    head = placed.where("key = pivot").select("band", F.col("component").alias("head"))
+    left = written(placed.join(head, "band").where("component <> head").select("band", "key"))
     if left.limit(1).count():
-        apart = everyone.join(left.select("band").distinct(), "band").select("key").distinct()
-        apart = apart.join(left.select("key").distinct().withColumn("outside", F.lit(True)), "key", "left").join(labels, F.col("key") == F.col("node"), "left")
-        compared(prefix_pairs(texts, written(apart.select("key", F.coalesce("component", "key").alias("component"), F.coalesce("outside", F.lit(False)).alias("outside"))), similarity, words))
+        near = written(starred.join(left.select("band").distinct(), "band").select("key", "pivot").distinct())
+        pools = components(near, "key", "pivot").select(F.col("node").alias("key"), F.col("component").alias("pool"))
+        flags = left.select("key").distinct().withColumn("outside", F.lit(True))
+        placed = pools.join(flags, "key", "left").join(labels, F.col("key") == F.col("node"), "left")
+        placed = written(placed.select("key", "pool", F.coalesce("component", "key").alias("component"), F.coalesce("outside", F.lit(False)).alias("outside")))
+        found = written(across(texts, placed, similarity, words))
+        if found.limit(1).count():
+            labels = components(edges.union(found), "a", "b")
     reps = texts_once.select("key", F.col("least.doc_id").alias("rep"), "n").join(labels, F.col("key") == F.col("node"), "left").where("n > 1 or component is not null")
     reps = written(reps.select("key", "rep", F.coalesce("component", "key").alias("component")))
     classes = written(reps.join(reps.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("key", "class_id"))
