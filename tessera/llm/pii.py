@@ -83,7 +83,8 @@ def disclosures(docs: DataFrame, support: int = SUPPORT, threshold: float = GENE
     terms = written(terms)
     entities = counted.select("key", "entity", "copies").distinct().join(terms.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.sum("copies").alias("of_entity"))
     wanted = written(terms.select("term").distinct())
-    everywhere = docs.select(F.explode(words(F.col("text"))).alias("term")).join(sized(wanted), "term").groupBy("term").agg(F.count("*").alias("of_term"))
+    # Counted first: a join before would have a row for each document of each frequent term.
+    everywhere = docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term")).join(sized(wanted), "term")
     total = docs.count()
     information = F.log2(F.lit(float(max(total, 1))) / F.col("of_entity"))
     ratio = 1 + F.log2(F.col("both") / F.greatest("of_term", "both")) / information
