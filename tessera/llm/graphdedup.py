@@ -1,4 +1,4 @@
-"""Near-duplicate vectors: a robust-pruned flat graph built on overlapping cluster shards, searched greedily within a range."""
+"""Near-duplicate vectors: a robust-pruned flat graph on cluster shards, searched greedily within a range from every shard that can hold a link."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, sized, table, tuned, written
@@ -17,8 +17,10 @@ COSINE = 0.9
 SHARD, MOST = 1_000, 2_048
 #: Components of the sample that centroids are fitted on (rows times dimensions), and centroids at most.
 SAMPLE, CENTROIDS = 2_000_000, 2_048
-#: Shards that hold a vector; neighbours of a node; candidates for them; random ones among these; pruning slack.
-OVERLAP, DEGREE, NEAR, FAR, ALPHA = 2, 24, 40, 6, 1.2
+#: Shards that travel together.
+GROUP = 8
+#: Neighbours of a node; candidates for them; random ones among these; pruning slack.
+DEGREE, NEAR, FAR, ALPHA = 24, 40, 6, 1.2
 #: Rounds of the greedy search, nodes expanded in each, and how far below the range nodes are still expanded.
 ROUNDS, BEAM, MARGIN = 6, 8, 0.05
 
@@ -71,6 +73,9 @@ def pruned(x: np.ndarray, seed: int = 5) -> list[np.ndarray]:
 def search(q: np.ndarray, x: np.ndarray, links: np.ndarray, start: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of the rows within the range that a search over the graph finds for each query: greedy from the ``start`` nodes, best unexpanded first, then from every node found within the range until no more come up. What is found is verified in double precision."""
     s = (q @ x.T).astype(np.float32)
+    # The others have no row in range to be found.
+    asked = np.flatnonzero(s.max(1, initial=-2) >= cosine - 1e-3)
+    q, s = q[asked], s[asked]
     seen, done = np.zeros(s.shape, bool), np.zeros(s.shape, bool)
     seen[:, start] = True
     rows = np.arange(len(q))[:, None]
@@ -93,7 +98,7 @@ def search(q: np.ndarray, x: np.ndarray, links: np.ndarray, start: np.ndarray, c
             seen[r[i : i + (1 << 16), None], links[c[i : i + (1 << 16)]]] = True
     r, c = np.nonzero(seen & (s >= cosine - 1e-3))
     good = np.concatenate([np.einsum("ij,ij->i", q[r[i : i + (1 << 18)]], x[c[i : i + (1 << 18)]]) >= cosine for i in range(0, len(r), 1 << 18)] or [np.zeros(0, bool)])
-    return r[good], c[good]
+    return asked[r[good]], c[good]
 
 
 def keyed(vectors: DataFrame) -> DataFrame:
@@ -110,87 +115,109 @@ def keyed(vectors: DataFrame) -> DataFrame:
     return usable_.mapInArrow(run, "vec_id long, key binary, embedding array<double>")
 
 
-def sharded(reps: DataFrame, total: int) -> DataFrame:
-    """(cluster, shard, vec_id, embedding): each vector in the clusters of its nearest centroids."""
+def sharded(reps: DataFrame, total: int) -> tuple[DataFrame, np.ndarray]:
+    """(cluster, shard, block, vec_id, embedding), each vector in the cluster of its nearest centroid and ``block`` numbering the shards; and the centroids."""
     spark = reps.sparkSession
     first = reps.select("embedding").first()
     rows = max(1, SAMPLE // max(1, len(first[0]) if first else 1))
     sample = reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("embedding").toArrow().column(0).combine_chunks()
     sample = units(matrix(sample)) if len(sample) else np.zeros((1, 1))
-    sent = spark.sparkContext.broadcast(centroids(sample, int(np.clip(round(total / SHARD), 1, CENTROIDS))))
+    c = centroids(sample, int(np.clip(round(total / SHARD), 1, CENTROIDS)))
+    sent = spark.sparkContext.broadcast(c)
 
     def run(batches):
-        c = sent.value
         for batch in batches:
-            m = matrix(batch.column(1))
-            wide = max(m.shape[1], c.shape[1])
-            near = np.argsort(-(np.pad(m, ((0, 0), (0, wide - m.shape[1]))) @ np.pad(c, ((0, 0), (0, wide - c.shape[1]))).T), axis=1, kind="stable")[:, :OVERLAP]
-            row = np.repeat(np.arange(len(m)), near.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["cluster", "vec_id", "embedding"])
+            m, c = widened(matrix(batch.column(1)), sent.value)
+            yield pa.RecordBatch.from_arrays([pa.array((m @ c.T).argmax(1).astype(np.int32)), *batch.columns], names=["cluster", "vec_id", "embedding"])
 
     placed = written(reps.select("vec_id", "embedding").mapInArrow(run, "cluster int, vec_id long, embedding array<double>"))
     # At most CENTROIDS rows.
     shards = placed.groupBy("cluster").count().select("cluster", F.ceil(F.col("count") / MOST).alias("shards"))
-    return placed.join(F.broadcast(shards), "cluster").select("cluster", F.pmod(F.xxhash64("vec_id"), "shards").alias("shard"), "vec_id", "embedding")
+    shards = shards.withColumn("first", F.sum("shards").over(Window.orderBy("cluster")) - F.col("shards"))
+    shard = F.pmod(F.xxhash64("vec_id"), "shards")
+    return placed.join(F.broadcast(shards), "cluster").select("cluster", shard.alias("shard"), (F.col("first") + shard).alias("block"), "vec_id", "embedding"), c
 
 
-def built(shards: DataFrame) -> DataFrame:
-    """(vec_id, links): the flat graph, each vector's lists of all its shards united."""
+def widened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both with zeros at the end, as wide as the wider."""
+    wide = max(a.shape[1], b.shape[1])
+    return np.pad(a, ((0, 0), (0, wide - a.shape[1]))), np.pad(b, ((0, 0), (0, wide - b.shape[1])))
 
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column("vec_id").to_numpy()
-        links = pruned(units(matrix(t.column("embedding").combine_chunks())))
-        return pa.table({"vec_id": ids, "links": pa.array([ids[b] for b in links], pa.list_(pa.int64()))})
 
-    lists = shards.groupBy("cluster", "shard").applyInArrow(run, "vec_id long, links array<long>")
-    return lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+def gaps(x: np.ndarray, c: np.ndarray, home: int) -> np.ndarray:
+    """Distance of each unit row, whose nearest centroid is ``home``, from the plane between that and each centroid. Rows of two clusters are apart by the sum of theirs at least."""
+    x, c = widened(x, c)
+    w = c[home] - c
+    size = np.linalg.norm(w, axis=1)
+    return np.where(size > 1e-9, np.maximum(x @ w.T, 0) / np.maximum(size, 1e-9), 0)
 
 
-def packed(shards: DataFrame, graph: DataFrame) -> DataFrame:
-    """A row for each shard: ids, unit vectors and the graph's links within it, padded with the node itself."""
+def packed(shards: DataFrame, c: np.ndarray, cosine: float = COSINE) -> DataFrame:
+    """A row for each shard: ids, unit vectors, the graph's links padded with the node itself, and each cluster (``other``) from whose plane some row is no further (``gap``, the least) than vectors that link can be apart."""
+    sent, apart = shards.sparkSession.sparkContext.broadcast(c), chord(cosine)
 
     def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("vec_id").to_numpy(), kind="stable")
-        t = t.take(pa.array(order))
+        t = t.take(pa.array(np.argsort(t.column("vec_id").to_numpy(), kind="stable")))
         ids, x = t.column("vec_id").to_numpy(), units(matrix(t.column("embedding").combine_chunks()))
-        lists = t.column("links").combine_chunks()
-        src, dst = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-        at = np.minimum(np.searchsorted(ids, dst), len(ids) - 1)
-        src, at = src[ids[at] == dst], at[ids[at] == dst]
-        size = np.bincount(src, minlength=len(ids))
-        links = np.repeat(np.arange(len(ids))[:, None], max(1, size.max()), 1)
-        links[src, np.arange(len(src)) - np.repeat(np.cumsum(size) - size, size)] = at
+        lists = pruned(x)
+        links = np.repeat(np.arange(len(ids))[:, None], max(1, *map(len, lists)) if len(lists) > 1 else 1, 1)
+        for i, found in enumerate(lists):
+            links[i, : len(found)] = found
+        gap = gaps(x, sent.value, t.column("cluster")[0].as_py()).min(0)
+        other = np.flatnonzero(gap <= apart)
         one = lambda a: pa.array([a.tobytes()], pa.binary())
-        return pa.table({"cluster": t.column("cluster")[:1].combine_chunks(), "shard": t.column("shard")[:1].combine_chunks(), "n": pa.array([len(ids)], pa.int32()), "ids": one(ids), "data": one(x), "links": one(links.astype("<i4"))})
+        row = {k: t.column(k)[:1].combine_chunks() for k in ("cluster", "block")}
+        return pa.table(row | {"n": pa.array([len(ids)], pa.int32()), "ids": one(ids), "data": one(x), "links": one(links.astype("<i4")), "other": pa.array([other.astype(np.int32)], pa.list_(pa.int32())), "gap": pa.array([gap[other]], pa.list_(pa.float64()))})
+
+    return shards.groupBy("cluster", "shard").applyInArrow(run, "cluster int, block long, n int, ids binary, data binary, links binary, other array<int>, gap array<double>")
+
 
-    return shards.join(graph, "vec_id").groupBy("cluster", "shard").applyInArrow(run, "cluster int, shard long, n int, ids binary, data binary, links binary")
+def chord(cosine: float) -> float:
+    """How far apart unit vectors of that cosine are, with some room for rounding."""
+    return float(np.sqrt(2 - 2 * cosine)) + 1e-6
 
 
 def linked(reps: DataFrame, total: int, cosine: float = COSINE) -> DataFrame:
-    """(u, v) with u < v: the links found."""
-    shards = written(sharded(reps, total))
-    blocks = written(packed(shards, written(built(shards))))
-    right = blocks.select("cluster", *[F.col(c).alias(f"r{c}") for c in ("shard", "n", "ids", "data", "links")])
-    # Shards of one cluster meet pair by pair, whole shards as single rows.
-    pairs = blocks.drop("links").join(right, "cluster").where("shard <= rshard")
+    """(u, v) with u < v: the links found. Every two shards meet whose gaps let a vector of one link with one of the other; shards travel in groups, so that each is sent once for each group that it meets."""
+    shards, c = sharded(reps, total)
+    blocks = written(packed(written(shards), c, cosine).withColumn("group", F.floor(F.col("block") / GROUP)))
+    sent, apart = reps.sparkSession.sparkContext.broadcast(c), chord(cosine)
+    near = written(blocks.select("block", "group", "cluster", F.explode(F.arrays_zip("other", "gap")).alias("o")).select("block", "group", "cluster", "o.other", "o.gap"))
+    back = near.select(F.col("cluster").alias("other"), F.col("other").alias("cluster"), F.col("block").alias("rblock"), F.col("group").alias("h"), F.col("gap").alias("rgap"))
+    tiles = written(near.join(back, ["cluster", "other"]).where(f"block <= rblock and gap + rgap <= {apart!r}").select(F.col("group").alias("g"), "h").distinct())
+    sends = tiles.select(F.col("g").alias("group"), "g", "h").union(tiles.where("g <> h").select("h", "g", "h"))
+    met = blocks.join(sends, "group").groupBy("g", "h").agg(F.collect_list(F.struct("group", "cluster", "block", "n", "ids", "data", "links", "other", "gap")).alias("blocks"))
+
+    def opened(b: dict) -> dict:
+        ids = np.frombuffer(b["ids"], "<i8")
+        return b | {"ids": ids, "data": np.frombuffer(b["data"], "<f8").reshape(len(ids), -1), "links": np.frombuffer(b["links"], "<i4").reshape(len(ids), -1), "gaps": dict(zip(b["other"], b["gap"], strict=True))}
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                ids, rids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["rids"], "<i8")
-                q, x = (np.frombuffer(r[c], "<f8").reshape(n, -1) for c, n in (("data", r["n"]), ("rdata", r["rn"])))
-                wide = max(q.shape[1], x.shape[1])
-                q, x = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (q, x))
-                links = np.frombuffer(r["rlinks"], "<i4").reshape(len(rids), -1)
-                medoid = int((x @ x.mean(0)).argmax())
-                a, b = search(q, x, links, np.unique(np.r_[medoid, np.linspace(0, len(rids) - 1, 16).astype(int)]), cosine)
-                u, v = np.minimum(ids[a], rids[b]), np.maximum(ids[a], rids[b])
-                if len(u):
-                    both = np.unique(np.stack([u, v], 1)[u < v], axis=0)
-                    for i in range(0, len(both), 1 << 18):
-                        yield pa.RecordBatch.from_arrays([pa.array(both[i : i + (1 << 18), 0]), pa.array(both[i : i + (1 << 18), 1])], names=["u", "v"])
-
-    return pairs.mapInArrow(run, "u long, v long").distinct()
+                found = sorted(map(opened, r["blocks"]), key=lambda b: b["block"])
+                for b in (b for b in found if b["group"] == r["h"]):
+                    medoid = int((b["data"] @ b["data"].mean(0)).argmax())
+                    start = np.unique(np.r_[medoid, np.linspace(0, b["n"] - 1, 16).astype(int)])
+                    for a in (a for a in found if a["group"] == r["g"] and a["block"] <= b["block"]):
+                        yield from between(a, b, start)
+
+    def between(a: dict, b: dict, start: np.ndarray):
+        room = apart - b["gaps"].get(a["cluster"], np.inf)
+        if a["gaps"].get(b["cluster"], np.inf) > room:
+            return
+        mine = np.arange(a["n"])
+        if a["cluster"] != b["cluster"]:
+            mine = np.flatnonzero(gaps(a["data"], sent.value[[a["cluster"], b["cluster"]]], 0)[:, 1] <= room)
+        q, x = widened(a["data"][mine], b["data"])
+        i, j = search(q, x, b["links"], start, cosine)
+        i, j = a["ids"][mine[i]], b["ids"][j]
+        u, v = np.minimum(i, j), np.maximum(i, j)
+        both = np.unique(np.stack([u, v], 1)[u < v], axis=0)
+        for k in range(0, len(both), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(both[k : k + (1 << 18), 0]), pa.array(both[k : k + (1 << 18), 1])], names=["u", "v"])
+
+    return met.select("g", "h", "blocks").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:

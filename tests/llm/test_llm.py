@@ -210,6 +210,18 @@ def test_vector_links(spark):
     assert graphdedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_between_clusters(spark):
+    rng = np.random.default_rng(8)
+    x = graphdedup.units(rng.normal(size=(6000, 64)))
+    z = rng.normal(size=x.shape)
+    z = graphdedup.units(z - (z * x).sum(1, keepdims=True) * x)
+    both = np.concatenate([x, 0.91 * x + np.sqrt(1 - 0.91**2) * z])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(both)], "vec_id long, embedding array<double>").repartition(4)
+    s = both @ both.T >= 0.9
+    got = {r.vec_id: r.n_links for r in graphdedup.near_duplicates(df).collect()}
+    assert got == {i: int(n) - 1 for i, n in enumerate(s.sum(1))}
+
+
 # 6
 
 
