@@ -96,8 +96,8 @@ def label_crossvalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("diff_opcodes")
 def diff_opcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A character diff of the first line of every document and its edit; SQL has no such diff."""
-    x = X.replaced_first(edits(spark, sf_dir).withColumn("content", F.substring_index("content", "\n", 1)))
+    """A character diff of every document and its edit; SQL has no such diff."""
+    x = X.replaced_first(edits(spark, sf_dir))
     return X.diff_opcodes(x.select(F.col("doc_ord").alias("id"), F.col("content").alias("original"), F.col("edited").alias("modified"))).select("id", F.explode_outer("ops").alias("op")).select("id", "op.*")
 
 

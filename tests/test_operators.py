@@ -1,10 +1,12 @@
 """Edge cases of the operators: empty sides, ties, repeats, exact offsets, known statistics."""
 
+import difflib
 import random
 
 from pyspark.sql import functions as F
 
 from tessera.operators import audit, classify, graph, matching, sampling, stats, text
+from tessera.plans import edit_queries
 from tessera.sources import corpus, html
 
 DET = "report_id int, det_idx int, refs array<string>, description string, confidence double"
@@ -78,6 +80,21 @@ def test_verification_reasons(spark):
     assert [got[i][1] for i in (1, 2, 3, 4)] == ["no difference", "more than one difference", "missing document", "no references"]
 
 
+def test_diff_opcodes_of_whole_texts(spark, tmp_path):
+    body = "".join(f"line {i} of the 1st, 2nd & 3rd part\n" for i in range(40))
+    texts = ["one\ntwo three\n" + body, body + "x two", "a b\nb", "\n\nb c d\ne", "word", "", None]
+    spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, t in enumerate(texts):
+        if t is not None:
+            words = t.split(" ")
+            edited = t.replace(words[1] if len(words) > 1 else "none", f"<{i}>", 1)
+            ops = [o for o in difflib.SequenceMatcher(None, t, edited).get_opcodes() if o[0] != "equal"]
+            want |= {(i, *o) for o in ops} or {(i, *[None] * 5)}
+    got = edit_queries.diff_opcodes(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_t_distribution():
     assert abs(stats.t_two_sided(12.706, 1) - 0.05) < 1e-5
     assert abs(stats.t_two_sided(2.776, 4) - 0.05) < 2e-4
