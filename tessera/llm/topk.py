@@ -23,7 +23,7 @@ def quantised(m: np.ndarray, scale: int = SCALE) -> np.ndarray:
 
 
 def top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, row, score) of each query's ``k`` best rows of a block, ties to the smaller id, its own id apart.
+    """(query row, row, score) of each query's ``k`` best rows of a block, ties to the smaller id, its own id apart; an id counts once with one score.
 
     Each dimension is a list of the block's rows by value; a query reads it from the top where its own component is
     positive and from the bottom where that is negative, all lists in step down to one signed value after another.
@@ -39,7 +39,9 @@ def top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: i
     q, x = q.astype(kind), x.astype(kind)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     own = q_ids[:, None] == x_ids[None, :]
-    k = min(k, len(x_ids))
+    # So many places may go to rows that another of the same id and score stands for.
+    spare = len(x_ids) - len(np.unique(x_ids))
+    place = min(k + spare, len(x_ids))
     end = -np.abs(x).max(initial=0)
     weight = np.abs(q).sum(1, keepdims=True)
     both = np.concatenate([x.ravel(), -x.ravel()])
@@ -51,10 +53,10 @@ def top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: i
         # Entries below an integer level are at most one less.
         above, below = shown + (v - 1) * unread, shown + end * unread
         above[own], below[own] = -np.inf, -np.inf
-        bar = np.partition(below, len(x_ids) - k, axis=1)[:, len(x_ids) - k]
+        bar = np.partition(below, len(x_ids) - place, axis=1)[:, len(x_ids) - place]
         live = above >= bar[:, None]
         live &= ~own
-        if v <= end or live.sum() <= SLACK * k * len(q_ids):
+        if v <= end or live.sum() <= SLACK * place * len(q_ids):
             break
     row, col = np.nonzero(live)
     score = np.empty(len(row), np.int64)
@@ -63,6 +65,8 @@ def top(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: i
         score[i : i + (1 << 18)] = np.einsum("ij,ij->i", q[a], x[b]).astype(np.int64)
     order = np.lexsort((x_ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
+    again = np.r_[False, (row[1:] == row[:-1]) & (score[1:] == score[:-1]) & (x_ids[col[1:]] == x_ids[col[:-1]])][: len(row)]
+    row, col, score = row[~again], col[~again], score[~again]
     first = np.searchsorted(row, row)
     kept = np.arange(len(row)) - first < k
     return row[kept], col[kept], score[kept]
@@ -77,7 +81,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     count once; ties go to the smaller vec_id; an empty table gives none; other columns are ignored.
     """
     spark = tuned(vectors.sparkSession)
-    vectors = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable())
+    vectors = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & usable()).dropDuplicates()
     convert = lambda m: quantised(m, scale)
     ask = vectors.where(F.col("vec_id") % every == 0)
     groups = -(-ask.count() // QUERY_ROWS)

@@ -189,6 +189,19 @@ def test_top_k(spark):
     assert set(got) == {i for i in good if i % 20 == 0} and topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(120, 8)))] + [(201, [9.0] * 8)] * 30 + [(202, [8.0 + j / 1000] * 8) for j in range(12)]
+    rows += [rows[0]] * 5 + [(20, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in topk.top_k(df, k=7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    for q in range(0, 120, 20):
+        want = {(-int(np.floor(64 * np.array(a)) @ np.floor(64 * np.array(v))), i) for j, a in rows if j == q for i, v in rows if i != q}
+        assert sorted(got[q]) == [(n, *w) for n, w in enumerate(sorted(want)[:7], 1)]
+
+
 # 5
 
 
