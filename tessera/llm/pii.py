@@ -94,20 +94,19 @@ def disclosures(docs: DataFrame, support: int = SUPPORT, threshold: float = GENE
 def sanitised(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with the base spans (``email``, ``ip``, ``card``, ``phone``), ``term`` spans (s, e, v, removed) and ``clean_text``.
 
-    A text's terms are those that disclose, by ``disclosures``, an entity that the text itself holds; all their
-    occurrences there, apart from base spans, are replaced by [TERM], or taken out from ``remove`` on. Base spans are
-    replaced by their kind; of spans that overlap the one that starts first (then the longer) covers the other. Null
-    texts have no spans and stay null; empty tables give none; other columns are kept unless of the names added;
-    repeated rows are treated alike.
+    A text's terms are those it has that disclose an entity, by ``disclosures``, whether or not it has the entity
+    too; all their occurrences, apart from base spans, are replaced by [TERM], or taken out where they disclose
+    ``remove`` of some entity. Base spans are replaced by their kind; of spans that overlap the one that starts first
+    (then the longer) covers the other. Null texts have no spans and stay null; empty tables give none; other columns
+    are kept unless of the names added; repeated rows are treated alike.
     """
     docs = docs.drop(*KINDS, "term", "clean_text")
     told = written(disclosures(docs, support, generalise))
-    by_entity = told.groupBy("entity").agg(F.collect_list(F.struct("term", (F.col("ratio") >= remove).alias("removed"))).alias("terms"))
     found = with_base(docs)
-    holders = with_base(docs.select("text")).where(" or ".join(f"size({k}) > 0" for k in KINDS)).withColumn("key", text_key())
-    holders = holders.select("key", F.explode(F.expr("array_distinct(concat(" + ", ".join(f"transform({k}, x -> '{k}:' || lower(x.v))" for k in KINDS) + "))")).alias("entity")).distinct()
     if told.limit(1).count():
-        by_text = written(holders.join(sized(written(by_entity)), "entity").groupBy("key").agg(F.flatten(F.collect_list("terms")).alias("told")))
+        terms = written(told.groupBy("term").agg((F.max("ratio") >= remove).alias("removed")))
+        has = docs.select(text_key().alias("key"), F.explode(words(F.col("text"))).alias("term")).join(sized(terms), "term")
+        by_text = written(has.groupBy("key").agg(F.collect_set(F.struct("term", "removed")).alias("told")))
         found = found.withColumn("key", text_key()).join(sized(by_text), "key", "left").drop("key")
     else:
         found = found.withColumn("told", F.lit(None).cast("array<struct<term: string, removed: boolean>>"))

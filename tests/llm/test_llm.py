@@ -404,6 +404,15 @@ def test_disclosing_terms(spark):
             assert "zebulon" not in r.clean_text and "[EMAIL]" in r.clean_text and "me@zeb.org" not in r.clean_text
 
 
+def test_disclosing_terms_without_their_entity(spark):
+    rng = random.Random(16)
+    texts = [prose(rng, 60) for _ in range(200)] + [f"{prose(rng, 30)} zebulon mail me@zeb.org {prose(rng, 30)}" for _ in range(5)] + [f"{prose(rng, 20)} Zebulon, {prose(rng, 9)} zebulon" for _ in range(2)]
+    for r in pii.sanitised(table(spark, texts)).collect():
+        terms = [r.text[x.s : x.e] for x in r.term]
+        assert terms == ([] if r.doc_id < 200 else ["zebulon", "mail"] if r.doc_id < 205 else ["Zebulon", "zebulon"])
+        assert r.doc_id < 205 or r.clean_text == re.sub("(?i)zebulon", "[TERM]", r.text)
+
+
 # pipeline
 
 
