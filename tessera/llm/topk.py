@@ -1,4 +1,4 @@
-"""Exact top-k by inner product with no random access: sorted lists are read in step and bounds decide when to stop."""
+"""Exact top-k by inner product with no random access: lists are read, as masks over dense blocks, down to one value after another and bounds decide when to stop."""
 
 from __future__ import annotations
 
