@@ -16,9 +16,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the least doc_id."""
-    dropped = written(minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    return docs.join(sized(dropped), "doc_id", "left_anti").select(docs.columns)
+    """One row of each class of near-duplicates, of those of the least doc_id (null last); rows are told apart by number, for a doc_id can be null or repeat."""
+    rows = written(docs.orderBy(F.col("doc_id").asc_nulls_last(), minhash.text_key()).withColumn("_row", F.monotonically_increasing_id()))
+    found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
+    dropped = written(found.where("not kept").select(F.col("doc_id").alias("_row")))
+    return rows.join(sized(dropped), "_row", "left_anti").select(docs.columns)
 
 
 def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -443,3 +443,16 @@ def test_pipeline_stages(spark, tmp_path):
         at = out
     packed = corpus_pipeline.run(spark, d).collect()
     assert packed and {r.doc_id for r in packed} <= ids
+
+
+def test_pipeline_keeps_one_row_of_a_class(spark):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (2, b), (3, b), (None, c), (None, c), (None, a), (4, d), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted([(1, a), (2, b), (None, c), (4, d), (4, None), (5, "")], key=key)
