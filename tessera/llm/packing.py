@@ -2,78 +2,134 @@
 
 from __future__ import annotations
 
-import base64
 import bisect
+import os
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, table, tuned
+from tessera.llm.common import shared_dir, table, tuned, written
 
 LENGTH = 2048
-TOKENIZER = "byte_bpe_50k"
-#: Words whose ids a Python worker remembers at once.
-CACHE_WORDS = 400_000
+TOKENIZER = "byte_bpe_50k.json"
+#: Words whose ids a Python worker remembers at once, and characters of a word that is remembered.
+CACHE_WORDS, WORD = 300_000, 64
+#: Text that is tokenised at once, in bytes; at least one text.
+SLICE = 4 << 20
+#: Size ranges that are swept apart in each round; the round over a single range comes last.
+RANGES = (16, 8, 4, 2)
+#: The sequences that a piece of more than half the length opens are numbered size * OPENED + rank.
+OPENED = 1 << 44
 PIECES = "row long, doc_id long, piece int, start long, length int, ids_crc32 long, part int, rank long"
+RUNS = "kind int, size long, first long, many long, sequence long, at long"
 
-_encoders: dict[str, object] = {}
+_encoders: dict[str, WordIds] = {}
 
 
 class WordIds:
-    """Ids of texts as little-endian bytes, through a bounded store of the words seen.
+    """Ids of texts by a byte-level tokenizer, through a bounded store of the words seen.
 
-    Before a single space between two other characters a pre-token always ends, so the words of a text without
-    double spaces can be encoded one by one. What the store lacks is encoded in one call for all texts given.
+    A pre-token always ends before a single space between two characters that are not white space. So texts are cut
+    there, each distinct word of a slice is looked up or encoded once, and the ids of the texts are gathered by word
+    number. Texts with any other space, at an end or beside white space, are encoded whole.
     """
 
-    def __init__(self, name: str):
-        import public_tokenizers as vocabularies
-        import tiktoken
-
-        with open(vocabularies.path(f"{name}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding(name, pat_str=vocabularies.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.begins = np.zeros(max(ranks.values()) + 1, bool)
-        for token, i in ranks.items():
-            self.begins[i] = token[:1] == b" "
-        self.words: dict[str, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        ids = self.encoding.encode_to_numpy(" " + " ".join(words), disallowed_special=()).astype("<u4")
-        at = np.flatnonzero(self.begins[ids])
-        if len(at) != len(words):  # a word with other white space in it
-            self.words.update((w, self.plain(" " + w)) for w in words)
-            return
-        raw, at = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
-        self.words.update((w, raw[at[i] : at[i + 1]]) for i, w in enumerate(words))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        seen = set().union(*(w[1:] for w in split))
-        if len(self.words) + len(seen) > CACHE_WORDS:
-            self.words = {w: self.words[w] for w in seen if w in self.words}
-        new = [w for w in seen if w not in self.words and w and not any(c.isspace() for c in w)]
-        if new:
-            self.learn(new)
-        for w in seen:
-            if w and w not in self.words:
-                self.words[w] = self.plain(" " + w)
-        get = self.words.__getitem__
-        # An empty first, inner or last word is a doubled or outer space.
-        return [self.plain(t) if "" in w or not w[0] else self.plain(w[0]) + b"".join(map(get, w[1:])) for t, w in zip(texts, split, strict=True)]
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # a space, as the vocabulary writes it
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, each after a space; number of ids of each). No word is empty or has white space at an end, so a token begins with a space where a word does."""
+        ids = self.whole([" " + " ".join(words)])[0] if words else np.zeros(0, np.uint32)
+        return ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
+
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each word, -1 where it has white space at an end or nothing; ids and sizes of what is numbered)."""
+        plain = [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words]
+        new = [w for w, good in zip(words, plain, strict=True) if good and w not in self.index]
+        if len(self.index) + len(new) > CACHE_WORDS:
+            self.forget()
+            new = [w for w, good in zip(words, plain, strict=True) if good]
+        ids, size = self.spaced(new)
+        short = np.array([len(w) <= WORD for w in new], bool)
+        number = dict(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+        all_ids, all_size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+        get = self.index.get
+        found = np.array([(get(w, -2) if good else -1) for w, good in zip(words, plain, strict=True)], np.int64)
+        for i in np.flatnonzero(found == -2):
+            found[i] = number[words[i]]
+        if short.all():
+            self.index.update(number)
+            self.ids, self.size = all_ids, all_size
+        else:  # only what is short enough stays
+            kept = np.repeat(short, size)
+            stay = [w for w, s in zip(new, short, strict=True) if s]
+            self.index.update(zip(stay, range(len(self.size), len(self.size) + len(stay)), strict=True))
+            self.ids, self.size = np.concatenate([self.ids, ids[kept]]), np.concatenate([self.size, size[short]])
+        return found, all_ids, all_size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, their offsets)."""
+        split = pc.split_pattern(texts, " ")
+        at = split.offsets.to_numpy().astype(np.int64)
+        first = np.zeros(at[-1] + 1, bool)
+        first[at[:-1]] = True
+        first, many = first[:-1], np.diff(at)
+        coded = split.values.dictionary_encode()
+        found, ids, size = self.numbers(coded.dictionary.to_pylist())
+        word = found[coded.indices.to_numpy()]
+        # A word alone, or without white space at its end before the next, is encoded as it stands.
+        odd = np.bincount(np.repeat(np.arange(len(many)), many)[word < 0], minlength=len(many)) > 0
+        heads = split.values.filter(pa.array(first))
+        own = self.whole(pc.if_else(pa.array(odd), texts, heads).to_pylist())
+        kept = ~np.repeat(odd, many) | first
+        word = np.where(first, len(size) + np.cumsum(first) - 1, word)[kept]
+        many = np.where(odd, 1, many)
+        ids, size = np.concatenate([ids, *own]), np.concatenate([size, [len(x) for x in own]]).astype(np.int64)
+        long_ = size[word]
+        ends = np.cumsum(long_)
+        begin = np.cumsum(size) - size
+        gathered = ids[np.repeat(begin[word] - (ends - long_), long_) + np.arange(ends[-1] if len(ends) else 0)]
+        return gathered, np.append(0, ends)[np.append(0, np.cumsum(many))]
 
 
 def encoder(name: str) -> WordIds:
     """One for each Python worker."""
-    return _encoders.setdefault(name, None) or _encoders.__setitem__(name, WordIds(name)) or _encoders[name]
+    if name not in _encoders:
+        import public_tokenizers
+
+        _encoders[name] = WordIds(str(public_tokenizers.path(name)))
+    return _encoders[name]
+
+
+def slices(texts: pa.Array, most: int = SLICE):
+    """Runs of texts of at most ``most`` bytes, or one longer text; null is empty."""
+    texts = texts.fill_null("")
+    ends, i = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)), 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield i, pa.concat_arrays([texts.slice(i, j - i)])
+        i = j
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -87,19 +143,23 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) ->
         words, part, ranks = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         row = part << 33
         for batch in batches:
-            out = [[] for _ in range(8)]
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for doc, coded in zip(ids, words.encode(texts), strict=True):
-                coded += b"\0\0\0\0"
-                n, first = len(coded) // 4, (len(coded) // 4 - 1) % length + 1
-                for k, start in enumerate([0, *range(first, n, length)]):
-                    size = first if k == 0 else length
-                    crc = zlib.crc32(coded[4 * start : 4 * (start + size)])
-                    for column, v in zip(out, (row, doc, k, start, size, crc, part, ranks[size]), strict=True):
-                        column.append(v)
-                    ranks[size] += 1
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, KINDS, strict=True)], names=NAMES)
+            docs = batch.column(0).to_pylist()
+            for i, texts in slices(batch.column(1)):
+                out: list[list] = [[] for _ in range(8)]
+                ids, off = words.encode(texts)
+                raw, off = ids.astype("<u4").tobytes(), off.tolist()
+                for k in range(len(texts)):
+                    coded, doc = raw[4 * off[k] : 4 * off[k + 1]] + b"\0\0\0\0", docs[i + k]
+                    n = len(coded) // 4
+                    first = (n - 1) % length + 1
+                    for p, start in enumerate([0, *range(first, n, length)]):
+                        size = length if p else first
+                        crc = zlib.crc32(coded[4 * start : 4 * (start + size)])
+                        for column, v in zip(out, (row, doc, p, start, size, crc, part, ranks[size]), strict=True):
+                            column.append(v)
+                        ranks[size] += 1
+                    row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, KINDS, strict=True)], names=NAMES)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
@@ -108,52 +168,96 @@ NAMES = [x.split()[0] for x in PIECES.split(", ")]
 KINDS = [pa.int32() if x.endswith(" int") else pa.int64() for x in PIECES.split(", ")]
 
 
-def best_fit(counts: dict[int, int], length: int = LENGTH) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(length, first rank, number, first sequence, offset) of each run placed, and the number of sequences.
+def best_fit(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], length: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(size, first rank, number, first sequence, gap before) of each run placed, and the pieces and gaps left over.
 
-    Pieces of one length and sequences of one gap are alike, so range-sorted pieces and gaps are held as runs: the
-    state is bounded by the sequence length, however many pieces there are. Each step takes the next length, longest
-    first, and sweeps from it upwards over the sorted gaps to its successors; pieces that want the same gap are told
-    apart by rank, one to a sequence; the gaps are updated and the step repeats until the length is used up. Where no
-    gap is left, new sequences open. The result is that of sequential best-fit decreasing.
+    Pieces of one size and sequences of one gap are alike, so both come and go as runs (size, first, number). The
+    sweep takes pieces longest first and goes from each size upwards to its successor among the gaps. Pieces that want
+    the same gap are told apart by rank, one to a sequence; what they leave is a gap again. Pieces without a successor
+    stay over, or open new sequences, numbered from 0, if a ``length`` is given.
     """
-    runs, gaps, order, opened = [], {}, [], 0
+    placed, left, opened = [], [], 0
+    held: dict[int, list] = defaultdict(list)
+    for gap, first, many in sorted(gaps):
+        held[gap].append((first, many))
+    order = sorted(held)
 
-    def give(gap: int, run: tuple[int, int]) -> None:
+    def give(gap: int, first: int, many: int) -> None:
         if gap:
-            if gap not in gaps:
-                gaps[gap] = []
+            if not held[gap]:
                 bisect.insort(order, gap)
-            gaps[gap].append(run)
+            held[gap].append((first, many))
 
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        while left:
+    for size, rank, many in sorted(pieces, reverse=True):
+        while many:
             i = bisect.bisect_left(order, size)
             if i < len(order):
                 gap = order[i]
-                first, many = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], order[i]
+                first, there = held[gap].pop()
+                if not held[gap]:
+                    del order[i]
+            elif length:
+                gap, first, there = length, opened, -(-many // (length // size))
+                opened += there
             else:
-                gap, first, many = length, opened, -(-left // (length // size))
-                opened += many
-            here = min(left, many)
-            runs.append((size, rank, here, first, length - gap))
-            give(gap - size, (first, here))
-            if many > here:
-                give(gap, (first + here, many - here))
-            rank, left = rank + here, left - here
-    return runs, opened
+                left.append((size, rank, many))
+                break
+            here = min(many, there)
+            placed.append((size, rank, here, first, gap))
+            give(gap - size, first, here)
+            if there > here:
+                give(gap, first + here, there - here)
+            rank, many = rank + here, many - here
+    return placed, left, [(gap, *run) for gap in order for run in held[gap]]
+
+
+def swept(runs: DataFrame, ranges: int, length: int = LENGTH) -> DataFrame:
+    """The runs after one round: pieces (kind 0) and gaps (kind 1) are dealt into ranges of size, each range is swept by a task of its own, and what was placed becomes kind 2."""
+
+    def sweep(t: pa.Table) -> pa.Table:
+        have = [list(zip(*(t.filter(pc.equal(t["kind"], k))[c].to_pylist() for c in ("size", "first", "many")), strict=True)) for k in (0, 1)]
+        placed, left, gaps = best_fit(*have)
+        rows = [(0, *r, 0, 0) for r in left] + [(1, *r, 0, 0) for r in gaps] + [(2, *r[:4], length - r[4]) for r in placed]
+        return pa.table({c: pa.array(v, k) for (c, k), v in zip(RUN_TYPES.items(), zip(*rows, strict=True) if rows else [[]] * 6, strict=True)})
+
+    band = F.floor((F.col("size") - 1) * ranges / length)
+    return runs.groupBy(band.alias("band")).applyInArrow(sweep, RUNS)
+
+
+RUN_TYPES = {"kind": pa.int32(), "size": pa.int64(), "first": pa.int64(), "many": pa.int64(), "sequence": pa.int64(), "at": pa.int64()}
+
+
+def planned(counts: DataFrame, length: int = LENGTH) -> np.ndarray:
+    """(size, first rank, number, first sequence, offset) of every run of pieces, given (length, many) of those below ``length``.
+
+    No two pieces of more than half the length fit together, so each opens a sequence. Then rounds: ranges of sizes
+    are swept side by side, the gaps and pieces that are left are dealt out anew into fewer and wider ranges, and a
+    last sweep over all sizes opens what sequences are still wanted. It runs on the driver: runs are bounded by the
+    sequence length, not by the number of documents.
+    """
+    size, none = F.col("length").cast("long"), F.lit(0).cast("long")
+    runs = counts.select(F.lit(0).alias("kind"), size.alias("size"), none.alias("first"), F.col("many"), none.alias("sequence"), none.alias("at"))
+    large = runs.where(f"2 * size > {length}")
+    opened = large.withColumn("kind", F.lit(2)).withColumn("sequence", F.col("size") * OPENED)
+    gaps = large.select(F.lit(1).alias("kind"), (length - F.col("size")).alias("size"), (F.col("size") * OPENED).alias("first"), "many", none.alias("sequence"), none.alias("at"))
+    state = written(runs.where(f"2 * size <= {length}").union(gaps).union(opened))
+    placed = [state.where("kind = 2")]
+    for ranges in RANGES:
+        state = written(swept(state.where("kind < 2"), ranges, length))
+        placed.append(state.where("kind = 2"))
+    left = [[tuple(r) for r in state.where(F.col("kind") == k).select("size", "first", "many").collect()] for k in (0, 1)]
+    rows = [(r.size, r.first, r.many, r.sequence, r.at) for part in placed for r in part.toArrow().to_pandas().itertuples()]
+    last, _, _ = best_fit(*left, length)
+    plan = np.array([*rows, *((*r[:4], length - r[4]) for r in last)] or [(0, 0, 0, 0, 0)], np.int64)
+    return plan[np.lexsort((plan[:, 1], plan[:, 0]))]
 
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document.
 
     Null and empty texts are one token, id 0. A null doc_id stays null; repeated rows are packed each for itself;
-    other columns are ignored; no documents give no rows. A sequence's pieces lie gapless from offset 0. Counts by
-    length (at most ``length`` of them) reach the driver, rows never do; the plan that is sent out is bounded by
-    ``length`` too. Full pieces need no gap and get negative sequence ids from their part and rank.
+    other columns are ignored; no documents give no rows. A sequence's pieces lie gapless from offset 0. Runs of equal
+    pieces reach the driver, rows never do; the plan that is sent out is bounded by ``length``. Full pieces need no gap and get negative sequence ids from their part and rank.
     """
     spark = tuned(docs.sparkSession)
     path = shared_dir(spark)
@@ -161,10 +265,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) -> D
     cut = spark.read.parquet(path)
     by_part = cut.where(F.col("length") < length).groupBy("length", "part").count()
     by_part = by_part.withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    totals = {r[0]: r[1] for r in by_part.groupBy("length").agg(F.sum("count")).collect()}
-    runs, _ = best_fit(totals, length)
-    plan = np.array(runs or [(0, 0, 0, 0, 0)], np.int64)
-    sent = spark.sparkContext.broadcast(plan[np.lexsort((plan[:, 1], plan[:, 0]))])
+    sent = spark.sparkContext.broadcast(planned(by_part.groupBy("length").agg(F.sum("count").alias("many")), length))
 
     def place(batches):
         plan = sent.value

@@ -275,7 +275,40 @@ def test_best_fit_is_that_of_a_sequential_pass():
             if fit:
                 gaps.remove(min(fit))
             gaps.append((min(fit) if fit else 100) - s)
-        assert packing.best_fit(Counter(sizes), 100)[1] == len(gaps)
+        placed, left, _ = packing.best_fit([(s, 0, n) for s, n in Counter(sizes).items()], [], 100)
+        assert not left and sum(r[2] for r in placed if r[4] == 100) == len(gaps)
+
+
+def test_rounds_over_ranges_place_every_piece_once(spark):
+    rng = random.Random(19)
+    sizes = Counter(min(99, int(rng.expovariate(1 / 25)) + 1) for _ in range(5000))
+    plan = packing.planned(spark.createDataFrame(list(sizes.items()), "length int, many long"), 100)
+    took, sequences = Counter(), {}
+    for size, rank, many, first, at in plan:
+        assert rank == took[size]  # ranks are dealt out in order, none twice
+        took[size] += many
+        for k in range(many):
+            sequences.setdefault(first + k, []).append((at, size))
+    assert took == sizes
+    for s in sequences.values():
+        s.sort()
+        assert [a for a, _ in s] == list(np.cumsum([0, *(n for _, n in s)])[:-1]) and sum(n for _, n in s) <= 100
+    assert len(sequences) <= 1.01 * sum(k * n for k, n in sizes.items()) / 100 + 1
+
+
+def test_ids_of_words_are_those_of_the_whole_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    rng = random.Random(20)
+    parts = [" ", " ", " ", "\n", "\t", "a", "Ab", "é", "7", "!", "'s", "\u00a0", "\u2003", "\x1c", "😀", "<|endoftext|>", "x" * 70]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    words = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    for some in (texts[:1500], texts[1500:], texts[:1500]):
+        ids, off = words.encode(packing.pa.array(some, packing.pa.string()))
+        assert [ids[off[i] : off[i + 1]].tolist() for i in range(len(some))] == [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
 
 
 # 7
