@@ -19,9 +19,9 @@ from tessera.llm.common import shared_dir, table, tuned, written
 LENGTH = 2048
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a Python worker remembers at once, and characters of a word that is remembered.
-CACHE_WORDS, WORD = 300_000, 64
+CACHE_WORDS, WORD = 400_000, 64
 #: Text that is tokenised at once, in bytes; at least one text.
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: Size ranges that are swept apart in each round; the round over a single range comes last.
 RANGES = (16, 8, 4, 2)
 #: The sequences that a piece of more than half the length opens are numbered size * OPENED + rank.
@@ -63,29 +63,23 @@ class WordIds:
         ids = self.whole([" " + " ".join(words)])[0] if words else np.zeros(0, np.uint32)
         return ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
 
-    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of each word, -1 where it has white space at an end or nothing; ids and sizes of what is numbered)."""
-        plain = [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words]
-        new = [w for w, good in zip(words, plain, strict=True) if good and w not in self.index]
-        if len(self.index) + len(new) > CACHE_WORDS:
-            self.forget()
-            new = [w for w, good in zip(words, plain, strict=True) if good]
+        odd = pc.or_(pc.equal(words, ""), pc.not_equal(pc.utf8_trim_whitespace(words), words)).to_numpy(zero_copy_only=False)
+        get, listed = self.index.get, words.to_pylist()
+        found = np.fromiter((get(w, -1) for w in listed), np.int64, len(listed))
+        unknown = np.flatnonzero((found < 0) & ~odd)
+        new = [listed[i] for i in unknown]
         ids, size = self.spaced(new)
-        short = np.array([len(w) <= WORD for w in new], bool)
-        number = dict(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+        found[unknown] = np.arange(len(self.size), len(self.size) + len(new))
         all_ids, all_size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
-        get = self.index.get
-        found = np.array([(get(w, -2) if good else -1) for w, good in zip(words, plain, strict=True)], np.int64)
-        for i in np.flatnonzero(found == -2):
-            found[i] = number[words[i]]
-        if short.all():
-            self.index.update(number)
-            self.ids, self.size = all_ids, all_size
-        else:  # only what is short enough stays
-            kept = np.repeat(short, size)
-            stay = [w for w, s in zip(new, short, strict=True) if s]
-            self.index.update(zip(stay, range(len(self.size), len(self.size) + len(stay)), strict=True))
-            self.ids, self.size = np.concatenate([self.ids, ids[kept]]), np.concatenate([self.size, size[short]])
+        if len(self.index) + len(new) > CACHE_WORDS and 2 * len(new) > len(listed):
+            self.forget()  # other words than before
+        short = np.array([len(w) <= WORD for w in new], bool)
+        short[max(0, CACHE_WORDS - len(self.index)) :] = False
+        stay = [w for w, s in zip(new, short, strict=True) if s]
+        self.index.update(zip(stay, range(len(self.size), len(self.size) + len(stay)), strict=True))
+        self.ids, self.size = np.concatenate([self.ids, ids[np.repeat(short, size)]]), np.concatenate([self.size, size[short]])
         return found, all_ids, all_size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +90,7 @@ class WordIds:
         first[at[:-1]] = True
         first, many = first[:-1], np.diff(at)
         coded = split.values.dictionary_encode()
-        found, ids, size = self.numbers(coded.dictionary.to_pylist())
+        found, ids, size = self.numbers(coded.dictionary)
         word = found[coded.indices.to_numpy()]
         # A word alone, or without white space at its end before the next, is encoded as it stands.
         odd = np.bincount(np.repeat(np.arange(len(many)), many)[word < 0], minlength=len(many)) > 0
