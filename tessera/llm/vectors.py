@@ -1,11 +1,10 @@
-"""Vectors of a table as packed blocks of rows."""
+"""Vectors of a table as matrices."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -27,34 +26,5 @@ def matrix(column: pa.ListArray) -> np.ndarray:
     return out
 
 
-def blocks(vectors: DataFrame, rows: int, convert=None, kind: str = "<f8") -> DataFrame:
-    """(block, n, dim, ids, data): at most ``rows`` rows of (vec_id, embedding) of one partition in each block, its matrix as bytes of ``kind`` after ``convert``."""
-
-    def run(batches):
-        held, count, number = [], 0, TaskContext.get().partitionId() << 33
-
-        def packed(parts):
-            ids = np.concatenate([i for i, _ in parts])
-            wide = max(m.shape[1] for _, m in parts)
-            data = np.concatenate([np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for _, m in parts])
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(ids)], pa.int32()), pa.array([wide], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([data.astype(kind).tobytes()], pa.binary())], names=["block", "n", "dim", "ids", "data"])
-
-        for batch in batches:
-            ids, m = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
-            m = convert(m) if convert else m
-            while len(ids):
-                take = rows - count
-                held.append((ids[:take], m[:take]))
-                count += len(ids[:take])
-                ids, m = ids[take:], m[take:]
-                if count == rows:
-                    yield packed(held)
-                    held, count, number = [], 0, number + 1
-        if held:
-            yield packed(held)
-
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "block long, n int, dim int, ids binary, data binary")
-
-
 def unpacked(ids: bytes, data: bytes, n: int, dim: int, kind: str = "<f8") -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, "<i8"), np.frombuffer(data, kind).reshape(n, dim)

@@ -189,17 +189,36 @@ def test_top_k(spark):
     assert set(got) == {i for i in good if i % 20 == 0} and topk.top_k(df.limit(0)).count() == 0
 
 
-def test_top_k_of_repeated_rows(spark):
+def test_top_k_of_repeated_rows_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 32)  # several blocks in a tile
     rng = np.random.default_rng(6)
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(120, 8)))] + [(201, [9.0] * 8)] * 30 + [(202, [8.0 + j / 1000] * 8) for j in range(12)]
-    rows += [rows[0]] * 5 + [(20, [1.0] * 8)]
+    rows += [rows[0]] * 5 + [(20, [-9.0] * 8)] + [(300 + j, [0.5] * 8) for j in range(40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    one = {}
+    for i, v in rows:
+        one[i] = min(one.get(i, v), v)
     got = {}
     for r in topk.top_k(df, k=7).collect():
         got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
-    for q in range(0, 120, 20):
-        want = {(-int(np.floor(64 * np.array(a)) @ np.floor(64 * np.array(v))), i) for j, a in rows if j == q for i, v in rows if i != q}
-        assert sorted(got[q]) == [(n, *w) for n, w in enumerate(sorted(want)[:7], 1)]
+    assert set(got) == {i for i in one if i % 20 == 0}
+    for q in got:
+        want = sorted((-int(np.floor(64 * np.array(one[q])) @ np.floor(64 * np.array(v))), i) for i, v in one.items() if i != q)
+        assert sorted(got[q]) == [(n, *w) for n, w in enumerate(want[:7], 1)]
+
+
+def test_rows_under_the_bar_are_not_read_to_the_end():
+    rng = np.random.default_rng(7)
+    x = np.floor(64 * rng.normal(size=(300, 4)) * 0.2)
+    x[:5] = 200
+    best, read = topk.Best(np.array([1000]), 5), []
+    whole = topk.Lists.read
+    try:
+        topk.Lists.read = lambda self, a, b, up, down, live, shown: (read.append(int(live.sum())), whole(self, a, b, up, down, live, shown))[1]
+        topk.aggregate(np.array([[1.0, 2.0, 3.0, 4.0]]), best, x, np.arange(300))
+    finally:
+        topk.Lists.read = whole
+    assert best.row.tolist() == [0, 1, 2, 3, 4] and best.score.tolist() == [2000] * 5 and read[-1] == 5 and read[0] == 300
 
 
 # 5
