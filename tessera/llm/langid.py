@@ -10,23 +10,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, tuned
-
-#: Labelled rows learned from at most, those of least hash.
-TRAIN_ROWS = 1_500
-HIDDEN, WINDOW = 16, 32
-STEPS, BATCH, RATE = 450, 384, 0.01
-#: Words whose sums a Python worker remembers at once, and words run through the network together.
-CACHE_WORDS, RUN = 700_000, 2048
+from tessera.llm.common import byte_slices, table, tuned
+
+#: Labelled rows learned from at most, those of least hash, and bytes of each from a place drawn by the seed.
+TRAIN_ROWS, TRAIN_BYTES = 1_500, 20_000
+HIDDEN = 16
+#: Bytes of a stretch that are labelled, and bytes on each side of it that both layers run through besides.
+STRETCH, AROUND = 224, 16
+#: Bytes of a stretch learned from; batches.
+WINDOW, STEPS, BATCH, RATE = 64, 500, 160, 0.01
+#: Stretches run through the network together.
+RUN = 1024
 UNKNOWN = "und"
 
 
-def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes in rows of WINDOW, lengths, word number) of every word's UTF-8 bytes; longer words go on in further windows."""
-    coded = [w.encode("utf-8", "replace") for w in words]
-    parts = [(i, b[k : k + WINDOW]) for i, b in enumerate(coded) for k in range(0, len(b), WINDOW)]
-    flat = np.frombuffer(b"".join(b.ljust(WINDOW, b"\0") for _, b in parts), np.uint8).reshape(-1, WINDOW)
-    return flat, np.array([len(b) for _, b in parts], np.int64), np.array([i for i, _ in parts], np.int64)
+def stretches(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first and last byte run through, first and last byte labelled) of each stretch of the texts between ``off``. Stretches tile each text; a stretch is run through from AROUND bytes before it to AROUND bytes after it, as far as the text goes."""
+    many = -(-np.diff(off) // STRETCH)
+    text = np.repeat(np.arange(len(many)), many)
+    first = off[text] + (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * STRETCH
+    last = np.minimum(first + STRETCH, off[text + 1])
+    return text, np.maximum(first - AROUND, off[text]), np.minimum(last + AROUND, off[text + 1]), first, last
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -114,35 +118,50 @@ class Network:
         self.back("b", x[:, ::-1], keep[:, ::-1], tapes[1], up[::-1, :, c:], grads)
         return float(loss), grads
 
-    def sums(self, words: list[str]) -> np.ndarray:
-        """For each word: the sum of each language's probabilities over its bytes, and the number of bytes."""
-        x, length, word = windows(words)
-        out = np.zeros((len(words), len(self.langs) + 1), np.float32)
-        order = np.argsort(length, kind="stable")
-        for n in np.unique(length):
-            same = order[np.searchsorted(length[order], n) : np.searchsorted(length[order], n, "right")]
-            for i in range(0, len(same), RUN):
-                rows = same[i : i + RUN]
-                np.add.at(out[:, :-1], word[rows], np.exp(self.log_probs(self.states(x[rows, :n]))).sum(0))
-                np.add.at(out[:, -1], word[rows], n)
-        return out
+    def pooled(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The mean over each text's bytes of each language's probability; every byte is labelled, in the one stretch that it belongs to. Empty texts have zeros."""
+        out = np.zeros((len(off) - 1, len(self.langs)))
+        text, begin, end, first, last = stretches(off)
+        order = np.argsort(end - begin, kind="stable")
+        for i in range(0, len(order), RUN):
+            k = order[i : i + RUN]
+            size = end[k] - begin[k]
+            wide = int(size.max())
+            t = np.arange(wide)[None, :]
+            x = buf[np.minimum(begin[k, None] + t, len(buf) - 1)]
+            inside = t < size[:, None]
+            keep = None if size.min() == wide else inside.astype(np.float32)
+            labelled = inside & (begin[k, None] + t >= first[k, None]) & (begin[k, None] + t < last[k, None])
+            p = np.exp(self.log_probs(self.states(x, keep)))
+            np.add.at(out, text[k], np.einsum("trl,rt->rl", p, labelled.astype(np.float32)))
+        return out / np.maximum(np.diff(off), 1)[:, None]
 
 
 def learn(texts: list[str], langs: list[str], steps: int = STEPS, hidden: int = HIDDEN, seed: int = 7) -> Network:
-    """Trained by Adam on batches of words, drawn evenly over the languages."""
+    """Trained by Adam on batches of stretches of WINDOW bytes, languages drawn evenly, then a text by length, then a place in it."""
     names = sorted(set(langs))
     net, rng = Network.fresh(names, hidden, seed), np.random.default_rng(seed)
-    bags = [[w for t, y in zip(texts, langs, strict=True) if y == name for w in t.split()] for name in names]
-    bags = [(k, b) for k, b in enumerate(bags) if b]
+    bags = []
+    for k, name in enumerate(names):
+        own = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t, y in zip(texts, langs, strict=True) if y == name]
+        if own := [b for b in own if len(b)]:
+            bags.append((k, own, np.cumsum([len(b) for b in own])))
     if len(bags) < 2:
         return net
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(v) for k, v in net.p.items()}
     for step in range(1, steps + 1):
-        y0 = rng.integers(0, len(bags), BATCH)
-        words = [bags[k][1][rng.integers(len(bags[k][1]))] for k in y0]
-        x, length, word = windows(words)
-        _, grads = net.gradients(x[:, : length.max()], length, np.array([bags[k][0] for k in y0])[word])
+        rows, y = [], []
+        for b in rng.integers(0, len(bags), BATCH):
+            k, own, ends = bags[b]
+            text = own[int(np.searchsorted(ends, rng.integers(ends[-1]), "right"))]
+            at = int(rng.integers(max(1, len(text) - WINDOW + 1)))
+            rows.append(text[at : at + WINDOW])
+            y.append(k)
+        length = np.array([len(r) for r in rows])
+        x = np.zeros((BATCH, length.max()), np.uint8)
+        x[np.arange(x.shape[1])[None, :] < length[:, None]] = np.concatenate(rows)
+        _, grads = net.gradients(x, length, np.array(y))
         rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
         for k, g in grads.items():
             m[k] += 0.1 * (g - m[k])
@@ -151,58 +170,32 @@ def learn(texts: list[str], langs: list[str], steps: int = STEPS, hidden: int =
     return net
 
 
-def trained(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network:
-    """Learned from the text and non-null lang of at most ``rows`` documents, those of least hash, none of them held out (``crc32(doc_id) mod 5 = 0``)."""
+def trained(docs: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES) -> Network:
+    """Learned from the text and non-null lang of at most ``rows`` documents, those of least hash, none of them held out (``crc32(doc_id) mod 5 = 0``). Of a text with more than ``most`` characters so many are learned from, from a place given by the doc_id's hash, so that what comes to the driver is bounded."""
     usable = docs.where("doc_id is not null and text is not null and lang is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = sorted((r.doc_id, r.text, r.lang) for r in usable.select("doc_id", "text", "lang").join(F.broadcast(ids.distinct()), "doc_id").toLocalIterator())
+    start = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - most, F.lit(0)) + 1).cast("int")
+    got = usable.select("doc_id", F.substring("text", start, F.lit(most)).alias("text"), "lang").join(F.broadcast(ids.distinct()), "doc_id")
+    got = sorted((r.doc_id, r.text, r.lang) for r in got.limit(2 * rows).toLocalIterator())
     return learn([t for _, t, _ in got], [y for _, _, y in got])
 
 
-class Labeller:
-    """Languages of texts through a bounded store of each word's sums."""
-
-    def __init__(self, net: Network):
-        self.net, self.index, self.table = net, {}, np.zeros((0, len(net.langs) + 1), np.float32)
-
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [(t or "").lower().split() for t in texts]
-        seen = set().union(*split)
-        if len(self.index) + len(seen) > CACHE_WORDS:
-            self.index, self.table = {}, self.table[:0]
-        new = [w for w in seen if w not in self.index]
-        if new:
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.net.sums(new)])
-        out, get = [], self.index.__getitem__
-        for t, words in zip(texts, split, strict=True):
-            if not words or not self.net.langs or not any(map(str.isalpha, t)):
-                out.append((UNKNOWN, 0.0))
-                continue
-            total = self.table[np.fromiter(map(get, words), np.int64, len(words))].sum(0, dtype=np.float64)
-            p = total[:-1] / total[-1]
-            out.append((self.net.langs[int(p.argmax())], min(1.0, float(p.max()))))
-        return out
-
-
-#: The last network's, kept by a Python worker from task to task.
-_labellers: dict[bytes, Labeller] = {}
-
-
 def identified(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row: the probabilities at all bytes of the whole text, pooled by their mean. The network's state starts anew with each word, so a word that recurs is run once."""
+    """(doc_id, lang_pred, score) for each row: the network runs over the bytes of the whole text in overlapping stretches and labels every one; the text has the language of the greatest mean probability, which is the score."""
     spark = tuned(docs.sparkSession)
     sent = spark.sparkContext.broadcast(pickle.dumps(net))
 
     def run(batches):
-        if (labeller := _labellers.get(sent.value)) is None:
-            _labellers.clear()
-            labeller = _labellers[sent.value] = Labeller(pickle.loads(sent.value))
+        net = pickle.loads(sent.value)
         for batch in batches:
-            found = labeller.label(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+            for i, j, buf, off in byte_slices(batch.column(1)):
+                letter = batch.column(2).slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool)
+                p = net.pooled(buf, off) if net.langs else np.zeros((j - i, 1))
+                known = letter & bool(net.langs)
+                langs = [net.langs[k] if good else UNKNOWN for k, good in zip(p.argmax(1), known, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(langs, pa.string()), pa.array(np.where(known, np.minimum(p.max(1), 1.0), 0.0))], names=["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

@@ -392,19 +392,46 @@ def test_repeated_strings(spark, monkeypatch, scanned, whole):
 
 def test_gradients_are_those_of_differences():
     net = langid.Network.fresh(["a", "b"], 4)
-    x, n, _ = langid.windows(["hello", "été", "x"])
-    y = np.array([0, 1, 0])
-    _, grads = net.gradients(x[:, :6], n, y)
+    words = [w.encode() for w in ("hello", "été", "x")]
+    x, n, y = np.array([list(w.ljust(6, b"\0")) for w in words]), np.array([len(w) for w in words]), np.array([0, 1, 0])
+    _, grads = net.gradients(x, n, y)
     for k, g in grads.items():
         i = np.unravel_index(np.abs(g).argmax(), g.shape)
         net.p[k][i] += 1e-2
-        up = net.gradients(x[:, :6], n, y)[0]
+        up = net.gradients(x, n, y)[0]
         net.p[k][i] -= 2e-2
-        down = net.gradients(x[:, :6], n, y)[0]
+        down = net.gradients(x, n, y)[0]
         net.p[k][i] += 1e-2
         assert abs((up - down) / 2e-2 - g[i]) < 1e-3
 
 
+def test_every_byte_is_labelled_as_by_a_loop():
+    net = langid.Network.fresh(["a", "b", "c"], 4)
+    texts = [b"", b"x", bytes(range(65, 91)) * 30, "é a".encode() * 75, b"y" * langid.STRETCH]
+    buf, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    got = net.pooled(buf, off)
+
+    def states(d, run):
+        h, out = np.zeros(4), []
+        for c in run:
+            a = net.p[f"x{d}"][c] + net.p[f"c{d}"]
+            z, r = (1 / (1 + np.exp(-(a[k : k + 4] + h @ net.p[f"h{d}"][:, k : k + 4]))) for k in (0, 4))
+            h = h + z * (np.tanh(a[8:] + (r * h) @ net.p[f"h{d}"][:, 8:]) - h)
+            out.append(h)
+        return out
+
+    for t, row in zip(texts, got, strict=True):
+        total = np.zeros(3)
+        for first in range(0, len(t), langid.STRETCH):
+            begin, last = max(0, first - langid.AROUND), min(len(t), first + langid.STRETCH)
+            run = t[begin : last + langid.AROUND]
+            both = zip(states("f", run), reversed(states("b", run[::-1])), strict=True)
+            for i, (f, b) in enumerate(both, begin):
+                s = np.r_[f, b] @ net.p["o"] + net.p["b"]
+                total += np.exp(s) / np.exp(s).sum() if first <= i < last else 0
+        assert np.allclose(row, total / max(1, len(t)), atol=1e-4)
+
+
 def test_language_id(spark, odd):
     rng = random.Random(12)
     other = [w[::-1] + "ä" for w in WORDS]
