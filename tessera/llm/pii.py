@@ -27,9 +27,14 @@ TESTS = {
     "card": f"length({DIGITS}) between 16 and 19 and {LUHN}",
     "phone": f"length({DIGITS}) between 8 and 15",
 }
-#: Characters on each side of a span whose whole words are its context.
-CONTEXT = 48
-#: Distinct texts in which a term must stand near an entity, and shares of the entity's information at which a term is generalised and removed.
+#: The entities that a span x stands for: its value, and the wider classes that it backs off to.
+ENTITIES = {
+    "email": ["'email:' || lower(x.v)", "'domain:' || lower(substring_index(x.v, '@', -1))"],
+    "ip": ["'ip:' || x.v", "'network:' || substring_index(x.v, '.', 2)"],
+    "card": [f"'card:' || {DIGITS}", f"'issuer:' || left({DIGITS}, 6)"],
+    "phone": [f"'phone:' || {DIGITS}", f"'area:' || left({DIGITS}, 4)"],
+}
+#: Distinct texts that an entity and a term must share, and shares of the entity's information at which a term is generalised and removed.
 SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.98
 WORD = r"(?<!\p{L})\p{L}{3,}(?!\p{L})"
 
@@ -62,33 +67,36 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
 
 
-def disclosures(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """(entity, term, ratio) of the terms that tell of a protected entity.
+def based(docs: DataFrame) -> DataFrame:
+    """``docs`` with the base spans, the text's ``_key`` and its ``_entities``, written once for all that reads them."""
+    entities = ", ".join(f"transform({k}, x -> {e})" for k in KINDS for e in ENTITIES[k]) + ", " + ", ".join(f"if(size({k}) > 0, array('kind:{k}'), array())" for k in KINDS)
+    return written(with_base(docs).withColumn("_key", text_key()).withColumn("_entities", F.expr(f"array_distinct(concat({entities}))")))
+
+
+def disclosures(found: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+    """(entity, term, ratio) of the terms that tell of a protected entity, from what ``based`` gives.
 
-    An entity is a kind and a value that the base patterns find. In counts of documents, its information is IC(c) =
-    log2(N / n(c)) and a term discloses PMI(c; t) = log2(N n(c,t) / (n(c) n(t))) of it, where n(c,t) counts documents
-    with the term in the context of the entity. Terms are kept whose ratio PMI / IC is ``threshold`` at least
-    and that stand near the entity in ``support`` distinct texts, so that a text and its copies prove nothing.
+    An entity is a value that the base patterns find, or a class that it backs off to where values are too rare to
+    count: its domain, network, issuer or area, and its kind. Terms are the distinct words of whole texts. In counts of
+    documents, an entity's information is IC(c) = log2(N / n(c)) and a term discloses PMI(c; t) = log2(N n(c,t) /
+    (n(c) n(t))) of it. Terms are kept whose ratio PMI / IC is ``threshold`` at least and that share ``support``
+    distinct texts with the entity, so that a text and its copies prove nothing.
     """
-    hits = with_base(docs.select("text")).where(" or ".join(f"size({k}) > 0" for k in KINDS)).withColumn("key", text_key())
-    each = hits.select("key", "text", F.explode(F.expr("concat(" + ", ".join(f"transform({k}, x -> struct('{k}:' || lower(x.v) as entity, x.s as s, x.e as e))" for k in KINDS) + ")")).alias("x"))
-    left = F.expr(f"case when x.s > {CONTEXT} then regexp_replace(substring(text, x.s - {CONTEXT} + 1, {CONTEXT}), '^[\\\\p{{L}}]+', '') else substring(text, 1, x.s) end")
-    right = F.expr(f"case when length(text) > x.e + {CONTEXT} then regexp_replace(substring(text, x.e + 1, {CONTEXT}), '[\\\\p{{L}}]+$', '') else substring(text, x.e + 1, {CONTEXT}) end")
-    near = each.select("key", "x.entity", F.explode_outer(F.array_union(words(left), words(right))).alias("term"))
-    # A row for each text, entity and term; a text's copies are counted with it.
-    near = written(near.groupBy("key", "entity", "term").agg(F.count("*").alias("spans")).drop("spans"))
-    copies = hits.groupBy("key").agg(F.count("*").alias("copies"))
-    counted = written(near.join(copies, "key"))
-    terms = counted.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("both")).where(F.col("texts") >= support)
-    terms = written(terms)
-    entities = counted.select("key", "entity", "copies").distinct().join(terms.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.sum("copies").alias("of_entity"))
+    hits = found.where("size(_entities) > 0")
+    # A row for each text; its copies are counted with it.
+    once = hits.select("_key", "_entities", words(F.col("text")).alias("terms")).groupBy("_key").agg(F.count("*").alias("copies"), F.first("_entities").alias("entities"), F.first("terms").alias("terms"))
+    once = written(once.select("copies", "entities", "terms"))
+    entities = once.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("of_entity"))
+    entities = written(entities.where(F.col("texts") >= support).select("entity", "of_entity"))
+    pairs = once.select("copies", "terms", F.explode("entities").alias("entity")).join(sized(entities.select("entity")), "entity")
+    terms = pairs.select("entity", "copies", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("both"))
+    terms = written(terms.where(F.col("texts") >= support).select("entity", "term", "both"))
     wanted = written(terms.select("term").distinct())
     # Counted first: a join before would have a row for each document of each frequent term.
-    everywhere = docs.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term")).join(sized(wanted), "term")
-    total = docs.count()
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("of_entity"))
-    ratio = 1 + F.log2(F.col("both") / F.greatest("of_term", "both")) / information
-    return terms.join(entities, "entity").join(everywhere, "term").where(information > 0).select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= threshold)
+    everywhere = found.select(F.explode(words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term")).join(sized(wanted), "term")
+    information = F.log2(F.lit(float(max(found.count(), 1))) / F.col("of_entity"))
+    ratio = 1 + F.log2(F.col("both") / F.col("of_term")) / information
+    return terms.join(sized(entities), "entity").join(everywhere, "term").where(information > 0).select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= threshold)
 
 
 def sanitised(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -98,23 +106,23 @@ def sanitised(docs: DataFrame, support: int = SUPPORT, generalise: float = GENER
     too; all their occurrences, apart from base spans, are replaced by [TERM], or taken out where they disclose
     ``remove`` of some entity. Base spans are replaced by their kind; of spans that overlap the one that starts first
     (then the longer) covers the other. Null texts have no spans and stay null; empty tables give none; other columns
-    are kept unless of the names added; repeated rows are treated alike.
+    are kept unless of the names added or used here (``_key``, ``_entities``); repeated rows are treated alike.
     """
-    docs = docs.drop(*KINDS, "term", "clean_text")
-    told = written(disclosures(docs, support, generalise))
-    found = with_base(docs)
+    docs = docs.drop(*KINDS, "term", "clean_text", "_key", "_entities", "_told")
+    found = based(docs)
+    told = written(disclosures(found, support, generalise))
     if told.limit(1).count():
         terms = written(told.groupBy("term").agg((F.max("ratio") >= remove).alias("removed")))
-        has = docs.select(text_key().alias("key"), F.explode(words(F.col("text"))).alias("term")).join(sized(terms), "term")
-        by_text = written(has.groupBy("key").agg(F.collect_set(F.struct("term", "removed")).alias("told")))
-        found = found.withColumn("key", text_key()).join(sized(by_text), "key", "left").drop("key")
+        has = found.select("_key", F.explode(words(F.col("text"))).alias("term")).join(sized(terms), "term")
+        by_text = written(has.groupBy("_key").agg(F.collect_set(F.struct("term", "removed")).alias("_told")))
+        found = found.join(sized(by_text), "_key", "left")
     else:
-        found = found.withColumn("told", F.lit(None).cast("array<struct<term: string, removed: boolean>>"))
-    pattern = "concat('(?iu)(?<!\\\\p{L})(?:', array_join(array_sort(array_distinct(transform(told, t -> t.term))), '|'), ')(?!\\\\p{L})')"
+        found = found.withColumn("_told", F.lit(None).cast("array<struct<term: string, removed: boolean>>"))
+    pattern = "concat('(?iu)(?<!\\\\p{L})(?:', array_join(array_sort(array_distinct(transform(_told, t -> t.term))), '|'), ')(?!\\\\p{L})')"
     base = "concat(" + ", ".join(KINDS) + ")"
     term = f"""transform(filter({spans(pattern)}, x -> not exists({base}, b -> b.s < x.e and x.s < b.e)),
-        x -> struct(x.s as s, x.e as e, x.v as v, exists(told, t -> t.removed and t.term = lower(x.v)) as removed))"""
-    found = found.withColumn("term", F.expr(f"case when size(told) > 0 then {term} else cast(array() as array<struct<s: int, e: int, v: string, removed: boolean>>) end")).drop("told")
+        x -> struct(x.s as s, x.e as e, x.v as v, exists(_told, t -> t.removed and t.term = lower(x.v)) as removed))"""
+    found = found.withColumn("term", F.expr(f"case when size(_told) > 0 then {term} else cast(array() as array<struct<s: int, e: int, v: string, removed: boolean>>) end")).drop("_told", "_key", "_entities")
     masks = "array_sort(concat(" + ", ".join(f"transform({k}, x -> struct(x.s as s, -x.e as e, '[{k.upper()}]' as mask))" for k in KINDS) + ", transform(term, x -> struct(x.s as s, -x.e as e, if(x.removed, '', '[TERM]') as mask))))"
     clean = f"""aggregate({masks}, struct(0 as at, cast(array() as array<string>) as parts),
         (a, x) -> if(x.s < a.at, struct(greatest(a.at, -x.e) as at, a.parts as parts), struct(-x.e as at, concat(a.parts, array(substring(text, a.at + 1, x.s - a.at), x.mask)) as parts)),
@@ -129,7 +137,7 @@ def digest(kinds: list[str]) -> Column:
 def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sanitised(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(digest(KINDS), 256).alias("base_sha256"), digest([*KINDS, "term"]).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(digest(KINDS), 256).alias("base_sha256"), digest([*KINDS, "term"]).alias("spans"), F.expr(" + ".join(f"size({k})" for k in [*KINDS, "term"])).cast("long").alias("n_spans"))
 
 
 QUERIES = {"op10_pii_sanitisation": op10_pii_sanitisation}

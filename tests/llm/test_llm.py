@@ -483,6 +483,57 @@ def test_disclosing_terms(spark):
             assert "zebulon" not in r.clean_text and "[EMAIL]" in r.clean_text and "me@zeb.org" not in r.clean_text
 
 
+def brute_disclosures(texts, support=3, threshold=0.9):
+    def entities(t):
+        out = set()
+        for k, spans in base_spans(t).items():
+            for a, b in spans:
+                v = t[a:b]
+                d = re.sub("[^0-9]", "", v)
+                out |= {f"kind:{k}", *{"email": (f"email:{v.lower()}", f"domain:{v.lower().split('@')[-1]}"), "ip": (f"ip:{v}", "network:" + ".".join(v.split(".")[:2])), "card": (f"card:{d}", f"issuer:{d[:6]}"), "phone": (f"phone:{d}", f"area:{d[:4]}")}[k]}
+        return out
+
+    terms = [set(re.findall(r"(?<![^\W\d_])[^\W\d_]{3,}(?![^\W\d_])", (t or "").lower())) for t in texts]
+    have = [entities(t) for t in texts]
+    n_t, n_c, both, shared = Counter(), Counter(), Counter(), {}
+    for t, ts, cs in zip(texts, terms, have, strict=True):
+        n_t.update(ts)
+        n_c.update(cs)
+        for c in cs:
+            for x in ts:
+                both[c, x] += 1
+                shared.setdefault((c, x), set()).add(t)
+    n, out = len(texts), {}
+    for (c, x), m in both.items():
+        if len(shared[c, x]) >= support and n_c[c] < n:
+            ratio = math.log2(n * m / (n_c[c] * n_t[x])) / math.log2(n / n_c[c])
+            if ratio >= threshold - 1e-9:
+                out[c, x] = ratio
+    return out
+
+
+def test_disclosures_are_those_of_brute_force(spark, odd):
+    rng = random.Random(21)
+    texts = [*odd, *(prose(rng, rng.randint(3, 50)) for _ in range(150))]
+    for k in range(40):
+        w = prose(rng, 30).split()
+        w.insert(rng.randrange(len(w)), rng.choice((f"u{k % 4}@h{k % 2}.org", f"10.{k % 3}.1.{k}", "4111 1111 1111 1111", f"+1 555 010 {1000 + k}")))
+        w.insert(rng.randrange(len(w)), rng.choice(("zebulon", "quark", "boson")))
+        texts.append(" ".join(w))
+    texts += texts[-3:] * 2
+    want = brute_disclosures(texts)
+    got = {(r.entity, r.term): r.ratio for r in pii.disclosures(pii.based(table(spark, texts).select("doc_id", "text"))).collect()}
+    assert got.keys() == want.keys() and want and any(c.startswith("kind:") for c, _ in want)
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_sanitisation_of_clashing_columns_and_repeats(spark):
+    rows = [(1, "a@b.co x", "was"), (1, "a@b.co x", "was"), (None, "a@b.co x", "was"), (2, None, "was")]
+    docs = spark.createDataFrame([(*r, 7, "k", "t") for r in rows], "doc_id long, text string, email string, phone int, _key string, term string")
+    got = pii.sanitised(docs).collect()
+    assert sorted((r.doc_id or 0, r.clean_text or "", len(r.email), len(r.phone)) for r in got) == [(0, "[EMAIL] x", 1, 0), (1, "[EMAIL] x", 1, 0), (1, "[EMAIL] x", 1, 0), (2, "", 0, 0)]
+
+
 def test_disclosing_terms_without_their_entity(spark):
     rng = random.Random(16)
     texts = [prose(rng, 60) for _ in range(200)] + [f"{prose(rng, 30)} zebulon mail me@zeb.org {prose(rng, 30)}" for _ in range(5)] + [f"{prose(rng, 20)} Zebulon, {prose(rng, 9)} zebulon" for _ in range(2)]
