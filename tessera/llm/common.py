@@ -75,14 +75,6 @@ def byte_slices(texts: pa.Array, most: int = STEP_BYTES):
         i = j
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64."""
-    p = np.full(n + 1, base, U64)
-    p[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(p)
-
-
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): each node of an undirected edge table with the least node that it reaches.
 

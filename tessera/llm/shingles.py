@@ -5,36 +5,48 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.common import U64, byte_slices, mix, powers
+from tessera.llm.common import U64, byte_slices, mix
 
 WORDS = 5
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-BYTES = mix(np.arange(1, 257, dtype=U64))
 ORDER = mix(np.arange(1001, 1001 + 64, dtype=U64)) | U64(1)
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Polynomial hashes are taken modulo this prime, with two bases.
+PRIME = (1 << 31) - 1
+BASES = (1_270_593_727, 786_438_193)
+M, SHIFT = U64(PRIME), U64(31)
 
 _powers: dict[int, np.ndarray] = {}
 
 
+def modulo(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**63 modulo PRIME."""
+    x = (x & M) + (x >> SHIFT)
+    x = (x & M) + (x >> SHIFT)
+    return np.where(x >= M, x - M, x)
+
+
 def upto(n: int, base: int) -> np.ndarray:
-    if len(_powers.get(base, ())) <= n:
-        _powers[base] = powers(max(n, 1 << 21), base)
-    return _powers[base]
+    """base**0 .. base**n modulo PRIME."""
+    p = _powers.get(base, np.ones(1, U64))
+    while len(p) <= n:
+        p = _powers[base] = np.concatenate([p, modulo(p * U64(pow(base, len(p), PRIME)))])
+    return p
 
 
 def prefix(buf: np.ndarray) -> np.ndarray:
-    """Polynomial prefix hashes: one more entry than bytes."""
-    out = np.zeros(len(buf) + 1, U64)
-    with np.errstate(over="ignore"):
-        np.cumsum(BYTES[buf] * upto(len(buf), BASE)[: len(buf)], out=out[1:])
+    """Polynomial prefix hashes for each base: one more entry than bytes."""
+    out = np.zeros((len(BASES), len(buf) + 1), U64)
+    for row, base in zip(out, BASES, strict=True):
+        # Products stay below 2**40, so their sums below 2**63 for 2**23 bytes; longer texts are reduced first.
+        terms = (buf.astype(U64) + U64(1)) * upto(len(buf), base)[: len(buf)]
+        row[1:] = modulo(np.cumsum(terms if len(buf) < 1 << 23 else modulo(terms)))
     return out
 
 
 def between(pre: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from a to b, the same wherever they stand."""
-    with np.errstate(over="ignore"):
-        return (pre[b] - pre[a]) * upto(len(pre), INVERSE)[a]
+    """62-bit hashes of the bytes from a to b, the same wherever they stand."""
+    one, two = (modulo((p[b] + (M - p[a])) * upto(len(p), pow(base, -1, PRIME))[a]) for p, base in zip(pre, BASES, strict=True))
+    return (one << SHIFT) | two
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

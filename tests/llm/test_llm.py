@@ -374,19 +374,44 @@ def brute_repeats(texts):
     return [(len(b), sum(m), len(re.findall(b"\1+", bytes(m))), hashlib.sha256(bytes(x for x, y in zip(b, m) if not y)).hexdigest()) for b, m in zip(raw, marks)]
 
 
-@pytest.mark.parametrize("scanned, whole", [(64, 4096), (3, 8)])
-def test_repeated_strings(spark, monkeypatch, scanned, whole):
-    monkeypatch.setattr(suffixes, "SCANNED", scanned)
-    monkeypatch.setattr(suffixes, "WHOLE", whole)
+def thue_morse(n):
+    return bytes(97 + bin(i).count("1") % 2 for i in range(n)).decode()
+
+
+@pytest.mark.parametrize("whole, piece", [(4096, 1 << 21), (8, 3000)])
+def test_repeated_strings(spark, whole, piece):
     rng = random.Random(11)
     shared = [prose(rng, n) for n in (80, 100, 150)]
     texts = [" ".join([prose(rng, rng.randint(0, 120)), rng.choice(shared)[rng.randint(0, 9) :], prose(rng, rng.randint(0, 60))]) for _ in range(40)]
     texts += [texts[2], texts[2], None, "", "x" * 399, "y" * 400, "z" * 401, "ab" * 600, texts[5] + texts[5], "😀" * 300, texts[7][:300] + "Q" + texts[7][301:]]
-    got = {r.doc_id: tuple(r[1:]) for r in suffixes.deduplicated(table(spark, texts)).collect()}
+    texts += [thue_morse(1024), thue_morse(2048)[1024:], " ".join([prose(rng, 1500), shared[0], prose(rng, 700), shared[2]])]
+    got = {r.doc_id: tuple(r)[1:5] for r in suffixes.deduplicated(table(spark, texts), whole, piece).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
     assert suffixes.deduplicated(table(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("between", [None, lambda pre, a, b: (b - a) % 7, lambda pre, a, b: (pre[0][b] + (1 << 31) - pre[0][a]) % 2])
+def test_common_extensions_in_spite_of_collisions(monkeypatch, between):
+    if between:
+        monkeypatch.setattr(suffixes, "between", between)
+    rng, spans, p, group = random.Random(22), [], [], []
+    for g in range(25):
+        base = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(2)]
+        for _ in range(rng.choice((1, 2, 5, 90))):
+            x, at = bytearray(rng.choice(base)), rng.randint(20, 40)
+            for _ in range(rng.randint(0, 4)):
+                x[rng.choice([*range(16), *range(44, 60)])] = rng.choice(b"abc")
+            begin, end = rng.randint(0, 12), rng.randint(48, 60)
+            spans.append(bytes(x[begin:end]))
+            p.append(30 - begin)
+            group.append(g)
+    low, high = suffixes.repeated(spans, np.array(p), np.array(group), 40)
+    for i, s in enumerate(spans):
+        others = {(o[t : t + 40], p[j] - t) for j, o in enumerate(spans) if j != i and group[j] == group[i] for t in range(len(o) - 39)}
+        found = [t for t in range(len(s) - 39) if (s[t : t + 40], p[i] - t) in others and 0 <= p[i] - t <= 40]
+        assert (low[i], high[i]) == ((found[0], found[-1] + 40) if found else (0, 0))
+
+
 # 9
 
 
