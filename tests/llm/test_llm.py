@@ -48,10 +48,35 @@ def test_warc_round_trip(spark):
     )
     for r in got:
         assert r.intact and (r.record_type == "revisit" or hashlib.sha1(r.payload).hexdigest() == r.payload_digest)
+    slim = {(r.archive, r.offset): r for r in warc.read_warc(spark, path, payload=False).collect()}
+    assert len(slim) == len(got) and all(slim[r.archive, r.offset][:9] == r[:9] for r in got)
     warc.write_warc(pages.limit(0), empty := shared_dir(spark))
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_warc_in_byte_ranges(spark, tmp_path):
+    """Archives cut into many byte ranges, with payloads full of magics, ones that are broken off and ones that don't begin with a record."""
+    rng, old = random.Random(23), spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def record(i, body):
+        return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(body), body)
+
+    bodies = [b"".join(rng.choice((b"WARC/1.1\r\n", b"x", b"\r\n\r\n", record(99, b"y"), "é".encode())) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    (tmp_path / "a.warc").write_bytes(b"".join(record(i, b) for i, b in enumerate(bodies)))
+    (tmp_path / "b.warc").write_bytes(b"".join(record(i, b) for i, b in enumerate(bodies[:9]))[:-5])
+    (tmp_path / "c.warc").write_bytes(b" " + record(1, b"x"))
+    (tmp_path / "d.warc").write_bytes(b"")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        got = warc.read_warc(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    name = lambda r: r.archive[-6:]
+    assert sorted((r.offset, r.page_id, bytes(r.payload)) for r in got if name(r) == "a.warc") == [(sum(len(record(j, b)) for j, b in enumerate(bodies[:i])), i, b) for i, b in enumerate(bodies)]
+    assert all(r.payload_digest == hashlib.sha1(r.payload).hexdigest() for r in got)
+    assert sorted(r.page_id for r in got if name(r) == "b.warc") == list(range(8)) and {name(r) for r in got} == {"a.warc", "b.warc"}
+
+
 def test_reachable_is_the_chain():
     rng = random.Random(2)
     for _ in range(50):
