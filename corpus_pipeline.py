@@ -10,21 +10,37 @@ from tessera.llm.common import sized, table, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold, by a lexicon learned from them and ``labels``."""
+    """Documents whose toxicity score is below the threshold, by a lexicon learned from them and ``labels``.
+
+    Null and empty texts and those with a null doc_id are scored like any other and have no match, so they stay; rows
+    that repeat are kept or dropped alike; without labels nothing is dropped; no documents give none; columns besides
+    those of documents pass through, also ones named ``score`` or ``predicted``.
+    """
     lexicon = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, lexicon).where("predicted = 0").select(docs.columns)
+    others = [c for c in docs.columns if c in ("score", "predicted")]
+    out = toxicity.scored(docs.withColumnsRenamed({c: f"_{c}" for c in others}), lexicon).where("predicted = 0")
+    return out.drop("score", "predicted").withColumnsRenamed({f"_{c}": c for c in others}).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near-duplicates, of those of the least doc_id (null last); rows are told apart by number, for a doc_id can be null or repeat."""
-    rows = written(docs.orderBy(F.col("doc_id").asc_nulls_last(), minhash.text_key()).withColumn("_row", F.monotonically_increasing_id()))
+    """One row of each class of near-duplicates, the first as the rows come.
+
+    Rows are told apart by number, for a doc_id can be null or repeat: of equal rows one stays, and of two texts with
+    one doc_id each is judged by itself. Null, empty and wordless texts are like no other and all stay; no documents
+    give none; columns besides those of documents pass through.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
     dropped = written(found.where("not kept").select(F.col("doc_id").alias("_row")))
     return rows.join(sized(dropped), "_row", "left_anti").select(docs.columns)
 
 
 def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and terms that disclose it replaced in the text; ``n_chars`` follows."""
+    """All documents, with personal data and terms that disclose it replaced in the text; ``n_chars`` follows.
+
+    Null texts stay null, with a null n_chars; rows that repeat stay and are treated alike; no documents give none;
+    columns besides those of documents pass through unless they have a name that ``pii.sanitised`` adds.
+    """
     clean = pii.sanitised(docs).withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast("long"))
@@ -32,12 +48,16 @@ def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of each source up to its budget, again for each epoch that they are chosen in."""
+    """Documents of each source up to its budget, again for each epoch that they are chosen in.
+
+    Null texts are empty, null sources and languages a leaf of their own, as ``mixing.mixed`` defines; rows that repeat
+    are each a document; no documents give none.
+    """
     return mixing.mixed(docs).select(docs.columns)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in fixed-length sequences."""
+    """The place of every piece of every document in fixed-length sequences. Null and empty texts are one token; a row that repeats, as mixing makes them, is packed each time; no documents give none."""
     return packing.pack(docs)
 
 

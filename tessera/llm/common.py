@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one step of a Python worker takes at once, in bytes.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Rows under which a side of a join may be broadcast; checked by a count.
 BROADCAST_ROWS = 200_000
 U64 = np.uint64
@@ -20,8 +20,8 @@ _own_dir: str | None = None
 
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds what one Arrow batch carries, for texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 

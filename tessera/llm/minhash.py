@@ -15,7 +15,7 @@ SIMILARITY = 0.8
 #: Texts of a block in the exact comparison of what stars leave apart.
 BLOCK = 256
 #: Points made at once.
-POINTS = 1 << 20
+POINTS = 1 << 19
 
 
 def processes(doc: np.ndarray, element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
