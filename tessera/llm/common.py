@@ -78,18 +78,26 @@ def byte_slices(texts: pa.Array, most: int = STEP_BYTES):
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): each node of an undirected edge table with the least node that it reaches.
 
-    Labels start at the least neighbour and each round takes the least label among neighbours, then the label's
-    label, so paths halve. Rounds end when no label changes. Each round is a written table; only a count of changes
-    comes to the driver. Self-loops are harmless; an edge with a null end is left out; no edges give no rows.
+    In each round every node points to its least neighbour, if that is less; pointer jumping takes all to the roots of
+    these trees; and the edges are contracted to edges between roots, of which at most half remain. Rounds end when no
+    edge is left. What a round leaves is a written table; only whether something is left comes to the driver.
+    Self-loops are harmless; an edge with a null end is left out; no edges give no rows.
     """
-    both = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null")
-    both = written(both.union(both.select("b", "a")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    pairs = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where(F.col(u).isNotNull() & F.col(v).isNotNull())
+    pairs, labels = written(pairs.distinct()), None
     while True:
-        near = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("c"))
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("next"))
-        new = written(step.join(jump, "c", "left").select("node", "was", F.least("c", F.coalesce("next", "c")).alias("component")))
-        labels = new.select("node", "component")
-        if new.where("was <> component").limit(1).count() == 0:
+        both = pairs.union(pairs.select("b", "a"))
+        roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+        while True:
+            above = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = written(roots.join(above, "root").select("node", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved")))
+            roots = jumped.select("node", "root")
+            if not jumped.where("moved").limit(1).count():
+                break
+        above = roots.select(F.col("node").alias("component"), F.col("root").alias("next"))
+        labels = roots.withColumnRenamed("root", "component") if labels is None else written(labels.join(above, "component", "left").select("node", F.coalesce("next", "component").alias("component")))
+        ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
+        inner = pairs.where("a <> b").join(ends[0], "a").join(ends[1], "b").where("a_root <> b_root")
+        pairs = written(inner.select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).distinct())
+        if not pairs.limit(1).count():
             return labels

@@ -166,6 +166,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 60), (60, 55), (70, 70), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {got[i] for i in range(31)} == {0} and (got[60], got[55], got[70]) == (50, 50, 70)
+    rng = random.Random(4)
+    for _ in range(3):
+        edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)] + [(999, 500 + rng.randrange(200)) for _ in range(99)]
+        up = {x: x for e in edges for x in e}
+        for _ in range(300):
+            for a, b in edges:
+                up[a] = up[b] = min(up[a], up[b])
+        assert {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()} == up
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -279,6 +287,20 @@ def test_links_between_clusters(spark):
     assert got == {i: int(n) - 1 for i, n in enumerate(s.sum(1))}
 
 
+def test_links_of_clusters_over_a_shard(spark):
+    """A cluster that is cut into shards, copies and far vectors; recall is audited in the run."""
+    rng = np.random.default_rng(9)
+    close = graphdedup.units(np.r_[1, np.zeros(15)] + rng.normal(size=(2600, 16)) * 0.11)
+    x = np.concatenate([close, close[:30], rng.normal(size=(400, 16))]).round(6)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found, recall = graphdedup.audited(df)
+    u = graphdedup.units(x)
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in found.collect()}
+    assert links.sum() > 2600 * 200 and recall >= 0.97
+    assert all(got[i] <= n for i, n in enumerate(links)) and sum(got.values()) >= 0.97 * links.sum()
+
+
 # 6
 
 
