@@ -19,7 +19,7 @@ from tessera.llm.common import shared_dir, table, tuned, written
 LENGTH = 2048
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a Python worker remembers at once, and characters of a word that is remembered.
-CACHE_WORDS, WORD = 400_000, 64
+CACHE_WORDS, WORD = 600_000, 64
 #: Text that is tokenised at once, in bytes; at least one text.
 SLICE = 8 << 20
 #: Size ranges that are swept apart in each round; the round over a single range comes last.
@@ -116,14 +116,25 @@ def encoder(name: str) -> WordIds:
     return _encoders[name]
 
 
-def slices(texts: pa.Array, most: int = SLICE):
-    """Runs of texts of at most ``most`` bytes, or one longer text; null is empty."""
-    texts = texts.fill_null("")
-    ends, i = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)), 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
-        yield i, pa.concat_arrays([texts.slice(i, j - i)])
-        i = j
+def slices(batches, most: int = SLICE):
+    """(doc_ids, texts) of runs of rows with at most ``most`` bytes of text, or one longer text; null is empty. Batches are put together, for the more text, the more of its words recur."""
+    held, size = [], 0
+    for batch in batches:
+        ids, texts = batch.column(0), batch.column(1).fill_null("")
+        ends, i = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)), 0
+        while i < len(texts):
+            before = ends[i - 1] if i else 0
+            j = int(np.searchsorted(ends, before + most - size, "right"))
+            if j == i and not held:
+                j = i + 1
+            if j > i:
+                held.append((ids.slice(i, j - i), texts.slice(i, j - i)))
+                size, i = size + int(ends[j - 1] - before), j
+            if i < len(texts):
+                yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
 
 
 def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -136,24 +147,22 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) ->
     def cut(batches):
         words, part, ranks = encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         row = part << 33
-        for batch in batches:
-            docs = batch.column(0).to_pylist()
-            for i, texts in slices(batch.column(1)):
-                out: list[list] = [[] for _ in range(8)]
-                ids, off = words.encode(texts)
-                raw, off = ids.astype("<u4").tobytes(), off.tolist()
-                for k in range(len(texts)):
-                    coded, doc = raw[4 * off[k] : 4 * off[k + 1]] + b"\0\0\0\0", docs[i + k]
-                    n = len(coded) // 4
-                    first = (n - 1) % length + 1
-                    for p, start in enumerate([0, *range(first, n, length)]):
-                        size = length if p else first
-                        crc = zlib.crc32(coded[4 * start : 4 * (start + size)])
-                        for column, v in zip(out, (row, doc, p, start, size, crc, part, ranks[size]), strict=True):
-                            column.append(v)
-                        ranks[size] += 1
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, KINDS, strict=True)], names=NAMES)
+        for docs, texts in slices(batches):
+            out: list[list] = [[] for _ in range(8)]
+            ids, off = words.encode(texts)
+            raw, off = ids.astype("<u4").tobytes(), off.tolist()
+            for k, doc in enumerate(docs.to_pylist()):
+                coded = raw[4 * off[k] : 4 * off[k + 1]] + b"\0\0\0\0"
+                n = len(coded) // 4
+                first = (n - 1) % length + 1
+                for p, start in enumerate([0, *range(first, n, length)]):
+                    size = length if p else first
+                    crc = zlib.crc32(coded[4 * start : 4 * (start + size)])
+                    for column, v in zip(out, (row, doc, p, start, size, crc, part, ranks[size]), strict=True):
+                        column.append(v)
+                    ranks[size] += 1
+                row += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, KINDS, strict=True)], names=NAMES)
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
