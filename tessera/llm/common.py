@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text that one step of a Python worker takes at once, in bytes.
 STEP_BYTES = 1 << 20
-#: Rows under which a side of a join may be broadcast; checked by a count.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (by the planner's figure) up to which a side of a join may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 U64 = np.uint64
 _own_dir: str | None = None
 
@@ -46,8 +46,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if a count shows at most ``limit`` rows; else as it is, for a shuffled join. Give it slim, written rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Marked for broadcast if it is checked to have at most ``limit`` rows and BROADCAST_BYTES; else as it is, for a shuffled join. Give it slim, written rows, whose size the planner knows from their files."""
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() <= BROADCAST_BYTES.bit_length()
+    return F.broadcast(df) if small and df.limit(limit + 1).count() <= limit else df
 
 
 def mix(x: np.ndarray) -> np.ndarray:

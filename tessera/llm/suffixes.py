@@ -19,13 +19,13 @@ WHOLE = 4096
 SORTED_BYTES = 2 << 20
 #: Bits of a place in a buffer, and bytes of a text that are searched at once; longer texts are cut into overlapping pieces.
 PLACE = 21
-PIECE = 1 << PLACE
+PIECE = 1 << 19
 ANCHOR = "key binary, tag long, h long, span long, span2 long, p int, a int, b int"
 FOUND = "key binary, tag long, a int, e int"
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, gram hash, anchor, first window, last window) of each anchor, in bytes of ``buf`` (PIECE at most).
+    """(text, gram hash, anchor, first window, last window) of each anchor, in bytes of ``buf`` (2**PLACE at most).
 
     Each window of ``length`` bytes selects the gram of least hash in it, the leftmost of equal ones, so equal windows
     select equal places wherever they stand; windows in a row that select one place are one anchor. The span of an
@@ -95,7 +95,7 @@ class Contexts:
         """Raises Collision unless rows i and j agree in ``n`` bytes and no more."""
         if self.exact or not len(i):
             return
-        some = max(1, (1 << 22) // LENGTH)
+        some = max(1, (1 << 20) // LENGTH)
         for k in range(0, len(i), some):
             size = n[k : k + some]
             row = np.repeat(np.arange(k, k + len(size)), size)
