@@ -47,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if it is checked to have at most ``limit`` rows and BROADCAST_BYTES; else as it is, for a shuffled join. Give it slim, written rows, whose size the planner knows from their files."""
-    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() <= BROADCAST_BYTES.bit_length()
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
     return F.broadcast(df) if small and df.limit(limit + 1).count() <= limit else df
 
 
