@@ -1,11 +1,12 @@
-"""Cuts of lineage for loops: tables written to the folder that a cluster shares."""
+"""Cuts of lineage for loops: tables written to the folder that a cluster shares; and numbers of rows by way of such a table."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 
@@ -20,3 +21,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``i``, the rows' numbers from 0 in an order. Rows are sorted by ranges and numbered within their range; only the ranges' sizes are added up in one place."""
+    parted = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parted = written(parted.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    sizes = sizes.withColumn("_base", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    # A row for each partition.
+    return parted.join(F.broadcast(sizes), "_part").withColumn("i", F.col("_base") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_base", "_first")

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.lineage import written
+from tessera.functions.lineage import numbered, written
 
 
 def document_nodes(claims: DataFrame) -> DataFrame:
@@ -189,14 +189,14 @@ def communities(edges: DataFrame) -> DataFrame:
 def grid(nodes: DataFrame, gap: float = 40.0) -> DataFrame:
     """(node, x, y): nodes in order of id on a square grid."""
     n = nodes.agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*")))).alias("columns"))
-    at = nodes.select("node").withColumn("i", F.row_number().over(Window.orderBy("node")) - 1).join(F.broadcast(n))
+    at = numbered(nodes.select("node"), "node").join(F.broadcast(n))
     return at.select("node", (F.col("i") % F.col("columns") * gap).alias("x"), (F.floor(F.col("i") / F.col("columns")) * gap).alias("y"))
 
 
 def circle(nodes: DataFrame, scale: float = 30.0) -> DataFrame:
     """(node, x, y): nodes in order of id on a circle that grows with the root of their number."""
     n = nodes.agg(F.count("*").alias("n"))
-    at = nodes.select("node").withColumn("i", F.row_number().over(Window.orderBy("node")) - 1).join(F.broadcast(n))
+    at = numbered(nodes.select("node"), "node").join(F.broadcast(n))
     turn, radius = 2 * F.pi() * F.col("i") / F.col("n"), F.sqrt("n") * scale
     return at.select("node", (radius * F.cos(turn)).alias("x"), (radius * F.sin(turn)).alias("y"))
 

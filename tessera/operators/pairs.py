@@ -29,10 +29,23 @@ def inverse_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best pairs of each case by score rounded to six places, ties in order of documents, with the score's share of the best as confidence."""
-    w = Window.partitionBy("case_id")
-    ranked = pairs.withColumn("score", F.round("score", 6)).where("score > 0").withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "doc_a", "doc_b")))
-    return ranked.where(F.col("rank") <= k).select("case_id", "rank", "doc_a", "doc_b", "score", F.round(F.least(F.col("score") / F.max("score").over(w), F.lit(1.0)), 6).alias("confidence"))
+    """The ``k`` best pairs of each case by score rounded to six places, ties in order of documents, with the score's share of the best as confidence. The cut comes before the best is looked up, so each task keeps only its ``k`` best of a case."""
+    order = Window.partitionBy("case_id").orderBy(F.desc("score"), "doc_a", "doc_b")
+    ranked = pairs.withColumn("score", F.round("score", 6)).where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    first = F.first("score").over(Window.partitionBy("case_id").orderBy("rank"))
+    return ranked.select("case_id", "rank", "doc_a", "doc_b", "score", F.round(F.least(F.col("score") / first, F.lit(1.0)), 6).alias("confidence"))
+
+
+#: Rows of a group that meet all of its rows in one task; a larger group is met in several.
+BLOCK = 512
+
+
+def crossed(a: DataFrame, b: DataFrame, key: list[str], doc: str, size: str) -> DataFrame:
+    """Each row of ``a`` with each of ``b`` of its group. A group of ``size`` rows is cut into blocks by the hash of ``doc`` in ``a``, and ``b`` goes to each, so that a hot group is many tasks' work."""
+    parts = F.ceil(F.col(size) / BLOCK)
+    one = a.withColumn("_part", F.pmod(F.xxhash64(doc), parts)).drop(size)
+    two = b.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop(size)
+    return one.join(two, [*key, "_part"]).drop("_part")
 
 
 def keyword_pairs(docs: DataFrame) -> DataFrame:
@@ -44,11 +57,11 @@ def keyword_pairs(docs: DataFrame) -> DataFrame:
     words = docs.select("case_id", "doc_ord", F.array_distinct(tokens()).alias("words"))
     terms = words.select("case_id", "doc_ord", F.explode("words").alias("term")).withColumn("term", F.xxhash64("term"))
     n = docs.groupBy("case_id").agg(F.countDistinct("doc_ord").alias("n"))
-    idf = terms.groupBy("case_id", "term").agg(F.count("*").alias("df")).where("df > 1").join(n, "case_id").where("df < n").select("case_id", "term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
+    idf = terms.groupBy("case_id", "term").agg(F.count("*").alias("df")).where("df > 1").join(n, "case_id").where("df < n").select("case_id", "term", "df", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
     weighed = terms.join(idf, ["case_id", "term"])
-    a = weighed.select("case_id", "term", "idf", F.col("doc_ord").alias("doc_a"))
-    b = weighed.select("case_id", "term", F.col("doc_ord").alias("doc_b"))
-    shared = a.join(b, ["case_id", "term"]).where("doc_a < doc_b").groupBy("case_id", "doc_a", "doc_b").agg(F.sum("idf").alias("overlap"))
+    a = weighed.select("case_id", "term", "idf", "df", F.col("doc_ord").alias("doc_a"))
+    b = weighed.select("case_id", "term", "df", F.col("doc_ord").alias("doc_b"))
+    shared = crossed(a, b, ["case_id", "term"], "doc_a", "df").where("doc_a < doc_b").groupBy("case_id", "doc_a", "doc_b").agg(F.sum("idf").alias("overlap"))
     signals = words.select("case_id", "doc_ord", F.array_intersect("words", F.array(*map(F.lit, SIGNALS))).alias("s"))
     one = signals.select("case_id", F.col("doc_ord").alias("doc_a"), F.col("s").alias("sa"))
     two = signals.select("case_id", F.col("doc_ord").alias("doc_b"), F.col("s").alias("sb"))
@@ -75,10 +88,11 @@ def surface_features(docs: DataFrame) -> DataFrame:
 
 def divergent_pairs(features: DataFrame) -> DataFrame:
     """(case_id, doc_a, doc_b, score): distance of the features, each difference over the greater absolute value or 1. All pairs of a case, for each has a score."""
-    a = features.select("case_id", F.col("doc_ord").alias("doc_a"), *[F.col(f).alias(f"a_{f}") for f in FEATURES])
-    b = features.select("case_id", F.col("doc_ord").alias("doc_b"), *[F.col(f).alias(f"b_{f}") for f in FEATURES])
+    features = features.join(features.groupBy("case_id").agg(F.count("*").alias("n")), "case_id")
+    a = features.select("case_id", "n", F.col("doc_ord").alias("doc_a"), *[F.col(f).alias(f"a_{f}") for f in FEATURES])
+    b = features.select("case_id", "n", F.col("doc_ord").alias("doc_b"), *[F.col(f).alias(f"b_{f}") for f in FEATURES])
     part = lambda f: F.pow((F.col(f"a_{f}") - F.col(f"b_{f}")) / F.greatest(F.abs(f"a_{f}"), F.abs(f"b_{f}"), F.lit(1.0)), 2)
-    return a.join(b, "case_id").where("doc_a < doc_b").select("case_id", "doc_a", "doc_b", F.sqrt(sum((part(f) for f in FEATURES), F.lit(0.0))).alias("score"))
+    return crossed(a, b, ["case_id"], "doc_a", "n").where("doc_a < doc_b").select("case_id", "doc_a", "doc_b", F.sqrt(sum((part(f) for f in FEATURES), F.lit(0.0))).alias("score"))
 
 
 def set_pairs(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

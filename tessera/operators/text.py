@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import written
+
 MAX_WORDS = 800
-CONTEXT = 200
 
 
 def segments(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
@@ -127,21 +128,37 @@ def first_modified(labels: DataFrame, originals: DataFrame, modifieds: DataFrame
     ).select("label_idx", F.when(F.col("any"), F.col("first")).alias("doc_id"), F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
+#: Fixed value: characters on each side of a change that have to be the same.
+CONTEXT = 200
+
+
+def same_context(original: str, modified: str, i1: str, i2: str, j1: str, j2: str, width: int = CONTEXT) -> Column:
+    """Whether ``width`` characters before and after a change, from i1 to i2 and from j1 to j2, are the same in both texts; arguments are SQL."""
+    before = lambda t, at: f"substring({t}, greatest(0, {at} - {width}) + 1, least({at}, {width}))"
+    after = lambda t, at: f"substring({t}, {at} + 1, {width})"
+    return F.expr(f"{before(original, i1)} = {before(modified, j1)} and {after(original, i2)} = {after(modified, j2)}")
+
+
 def verified(labels: DataFrame, originals: DataFrame, modifieds: DataFrame) -> DataFrame:
-    """(label_idx, passed, reason, diff_start, diff_end, discrepancy) by the first rule that rejects: no references, a missing document or no change, more than one change.
+    """(label_idx, passed, reason, diff_start, diff_end, discrepancy) by the first rule that rejects: no references, a missing document or no change, more than one change, another context, a label with ``errors`` (if it has that column).
 
     The diff's span overrides the label's own; where they differ that is a discrepancy, not a failure.
     """
     found = first_modified(labels, originals, modifieds)
     wanted = found.where("doc_id is not null").select("doc_id").distinct()
     pairs = originals.select("doc_id", F.col("content").alias("original")).join(modifieds.select("doc_id", F.col("content").alias("modified")), "doc_id").join(wanted, "doc_id")
-    ops = diff_opcodes(pairs.withColumnRenamed("doc_id", "id")).withColumnRenamed("id", "doc_id")
+    ops = written(diff_opcodes(pairs.withColumnRenamed("doc_id", "id")).withColumnRenamed("id", "doc_id"))
+    lone = ops.where("size(ops) = 1").select("doc_id", F.col("ops")[0].alias("o")).join(pairs, "doc_id")
+    ops = ops.join(lone.select("doc_id", same_context("original", "modified", "o.i1", "o.i2", "o.j1", "o.j2").alias("clean")), "doc_id", "left")
+    bad = F.size("errors") > 0 if "errors" in labels.columns else F.lit(False)
     x = labels.join(found, "label_idx").join(ops, "doc_id", "left").withColumn("op", F.get("ops", F.lit(0)))
     reason = (
         F.when(F.size("refs") == 0, "no references")
         .when(F.col("doc_id").isNull(), F.when(F.col("missing"), "missing document").otherwise("no difference"))
         .when(F.size("ops") == 0, "no difference")
         .when(F.size("ops") > 1, "more than one difference")
+        .when(~F.col("clean"), "changed context")
+        .when(bad, "invalid label")
     )
     return x.select(
         "label_idx",

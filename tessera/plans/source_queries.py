@@ -36,10 +36,20 @@ def label_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.label_errors(g).select("label_idx", F.array_join("errors", "").alias("errors"))
 
 
-@query("docket_rows", "select page_id, 0 as item_number, '' as title from pages where false")
+@query("docket_rows", f"""select p_partkey % 50 as page_id, p_partkey::int as item_number, 'Group ' || p_size || ' ' || p_name as title, (case when p_partkey % 7 = 0 then 0 else p_size end)::int as page_count, case when p_partkey % 2 = 0 then 'txt' else 'pdf' end as file_type,
+  '/doc?id=' || p_partkey || case when p_partkey % 2 = 0 then '&FileExtension=TXT&x=1' else '' end as href from part where p_partkey % 11 <> 0 and p_partkey % 5 <> 0 and p_partkey % 13 <> 0""")
 def docket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each page's largest table; these pages hold no table."""
-    return H.docket_rows(T.table(spark, sf_dir, "pages")).select("page_id", "item_number", "title")
+    """Documents listed in pages made of parts: the larger of two tables counts; rows with too few cells, no number or no link don't."""
+    p, k = T.table(spark, sf_dir, "part"), F.col("p_partkey")
+    text = lambda x: F.concat(F.lit("<td> "), x, F.lit(" </td>"))
+    key = k.cast("string")
+    href = F.concat(F.lit("/doc?id="), key, F.when(k % 2 == 0, "&amp;FileExtension=TXT&amp;x=1").otherwise(""))
+    link = F.when(k % 5 == 0, "none").otherwise(F.concat(F.lit('<a class="x" href="'), href, F.lit('">View</a>')))
+    cells = [F.when(k % 11 == 0, "n/a").otherwise(key), F.concat(F.lit("Group "), F.col("p_size").cast("string"), F.lit(" "), "p_name"), F.when(k % 7 == 0, "?").otherwise(F.col("p_size").cast("string")), F.lit("0"), F.lit("PDF")]
+    row = F.concat(F.lit("<tr>"), *map(text, cells), F.when(k % 13 == 0, "").otherwise(text(link)), F.lit("</tr>\n"))
+    head = "<html><table><tr><td>1</td></tr></table><table><tr><th>Item</th><th>Title</th></tr>"
+    pages = p.select((k % 50).alias("page_id"), k.alias("k"), row.alias("row")).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"]), "").alias("rows"))
+    return H.docket_rows(pages.select("page_id", F.concat(F.lit(head), "rows", F.lit("</table>")).alias("html"))).drop("group")
 
 
 def stub(prompt: str):

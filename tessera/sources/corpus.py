@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
+from tessera.functions.lineage import numbered
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -63,9 +65,8 @@ def claims(spark: SparkSession, path: str) -> DataFrame:
 
 def with_ids(labels: DataFrame, prefix: str = "c_") -> DataFrame:
     """Labels with an ``id``: their own, or a number in order of file and line."""
-    number = F.row_number().over(Window.orderBy("file", "line")) - 1
     own = F.col("id") if "id" in labels.columns else F.lit(None).cast("string")
-    return labels.withColumn("id", F.coalesce(own, F.concat(F.lit(prefix), number.cast("string"))))
+    return numbered(labels, "file", "line").withColumn("id", F.coalesce(own, F.concat(F.lit(prefix), F.col("i").cast("string")))).drop("i")
 
 
 def label_errors(labels: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rows of the largest table of an HTML page."""
+"""Documents listed in the largest table of an HTML page."""
 
 from __future__ import annotations
 
@@ -6,27 +6,32 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-ROW = "page_id bigint, item_number int, title string, cells array<string>, href string, file_type string"
+from tessera.operators.classify import document_group
+
+ROW = "page_id bigint, item_number int, title string, page_count int, file_type string, href string"
+#: Cells of a row that describes a document, and the file type where its link names none.
+CELLS, FILE_TYPE = 6, "pdf"
 
 
 class Tables(HTMLParser):
-    """Tables as rows of (text, first link) cells."""
+    """Tables as rows of (text, first link) data cells."""
 
     def __init__(self):
         super().__init__()
-        self.tables: list[list[list[list[str]]]] = []
-        self.cell: list[str] | None = None
+        self.tables: list[list[list[list]]] = []
+        self.cell: list | None = None
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.tables.append([])
         elif tag == "tr" and self.tables:
             self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1]:
-            self.cell = ["", ""]
+        elif tag == "td" and self.tables and self.tables[-1]:
+            self.cell = ["", None]
             self.tables[-1][-1].append(self.cell)
-        elif tag == "a" and self.cell is not None and not self.cell[1]:
+        elif tag == "a" and self.cell is not None and self.cell[1] is None:
             self.cell[1] = dict(attrs).get("href") or ""
 
     def handle_endtag(self, tag):
@@ -35,29 +40,30 @@ class Tables(HTMLParser):
 
     def handle_data(self, data):
         if self.cell is not None:
-            self.cell[0] += data
+            self.cell[0] += data.strip()
 
 
-def largest_table(html: str | None, least: int = 6) -> list[tuple]:
-    """Data rows of the table with most rows, after its head: those of ``least`` cells with a number first."""
+def largest_table(html: str | None) -> list[tuple]:
+    """(item_number, title, page_count, file_type, href) of the documents in the table with most rows, the first row being its head. A document's row has a number, a title, a number of pages (else 0) and, in its sixth cell, a link; the link names the file type."""
     parser = Tables()
     parser.feed(html or "")
     out = []
     for row in max(parser.tables, key=len, default=[])[1:]:
-        text = [" ".join(c[0].split()) for c in row]
-        if len(row) >= least and text[0].isdigit():
-            href = next((c[1] for c in row if c[1]), "")
-            out.append((int(text[0]), text[1], text, href, href.split("?")[0].rsplit(".", 1)[-1].lower() if "." in href else ""))
+        if len(row) < CELLS or not row[0][0].isdigit() or not row[5][1]:
+            continue
+        pages, href = row[2][0], row[5][1]
+        kind = href.split("FileExtension=")[1].split("&")[0].lower() if "FileExtension=" in href else FILE_TYPE
+        out.append((int(row[0][0]), row[1][0], int(pages) if pages.isdigit() else 0, kind, href))
     return out
 
 
 def docket_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, item_number, title, cells, href, file_type) of each page's largest table; built-ins can't parse HTML."""
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
+    """(page_id, item_number, title, page_count, file_type, href, group) of the documents that each page lists; built-ins can't parse HTML."""
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
 
     def run(batches):
         for batch in batches:
             rows = [(page, *r) for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in largest_table(html)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in ROW.split(", ")])
 
-    return pages.select("page_id", "html").mapInArrow(run, ROW)
+    return pages.select("page_id", "html").mapInArrow(run, ROW).withColumn("group", document_group(F.col("title")))

@@ -145,9 +145,13 @@ def test_classifier_order(spark):
 
 
 def test_largest_table():
-    row = "<tr><td>{}</td><td>T</td><td>x</td><td>2</td><td>g</td><td><a href='/f.pdf?a=1'>f</a></td></tr>"
-    page = "<table><tr><td>1</td></tr></table><table><tr><th>h</th></tr>" + row.format(1) + row.format("n") + row.format(3) + "</table>"
-    assert [(r[0], r[4]) for r in html.largest_table(page)] == [(1, "pdf"), (3, "pdf")] and html.largest_table(None) == []
+    """The longest table counts; file type by link, pages where they are a number, rows without number, cells or link passed over."""
+    cells = lambda *x: "<tr>" + "".join(f"<td> {c} </td>" for c in x) + "</tr>"
+    page = "<table><tr><td>1</td></tr></table><table>" + cells("Item", "Title", "Pages", "", "Type", "Link")
+    page += cells(1, "First <b> one </b>", "12", "", "PDF", '<a href="/get?id=1&amp;FileExtension=JPG&amp;x=1">View</a><a href="/no">x</a>') + cells("x", "t", "1", "", "", '<a href="/a">v</a>')
+    page += cells(3, "Third", "n/a", "", "TXT", '<p><a href="/f.txt">v</a></p>') + cells(4, "no link", "1", "", "", "none") + cells(5, "few") + cells(6, "empty link", "1", "", "", "<a>v</a>") + "</table>"
+    assert html.largest_table(page) == [(1, "Firstone", 12, "jpg", "/get?id=1&FileExtension=JPG&x=1"), (3, "Third", 0, "pdf", "/f.txt")]
+    assert html.largest_table(None) == [] and html.largest_table("<table></table><p>") == []
 
 
 def test_readers(spark, tmp_path):
@@ -184,3 +188,53 @@ def test_audit_with_a_scripted_model(spark):
     assert [(r.refs, r.confidence, r["mode"]) for r in got] == [(["0", "1"], 0.7, "hybrid")]
     assert audit.mode(audit.none, audit.by_reasoning) == "agentic" and audit.mode(audit.by_graph, audit.none) == "graph_native"
     assert audit.audit(docs, model, graph=audit.none).count() == 1
+
+
+def test_numbers_follow_the_order(spark):
+    from tessera.functions.lineage import numbered
+
+    keys = random.Random(5).sample(range(10_000), 700)
+    df = spark.createDataFrame([(k,) for k in keys], "k int").repartition(7)
+    assert [(r.k, r.i) for r in numbered(df, "k").orderBy("k").collect()] == list(zip(sorted(keys), range(700), strict=True))
+    assert numbered(df.limit(0), "k").count() == 0
+
+
+def test_hot_groups_meet_in_blocks(spark, monkeypatch):
+    from tessera.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    a = spark.createDataFrame([(1, i, 10) for i in range(10)] + [(2, 50, 1)], "k int, x int, n bigint")
+    got = pairs.crossed(a, a.withColumnRenamed("x", "y"), ["k"], "x", "n").collect()
+    assert sorted((r.k, r.x, r.y) for r in got) == sorted([(1, i, j) for i in range(10) for j in range(10)] + [(2, 50, 50)])
+
+
+def test_links_of_every_shape(spark):
+    from tessera.operators import reports
+
+    refs = spark.createDataFrame([(["a", "b"], "", None, "", "rel", "why"), ([], "s", "t", "", "", ""), (None, "", "x", "", None, None), (None, "s", "", "kind", "", "")], "claim_ids array<string>, source_claim string, target_claim string, relationship_type string, relationship string, description string")
+    clusters = spark.createDataFrame([(["p", "q", "r"], "", "theme")], "claim_ids array<string>, relation string, theme string")
+    got = [(r.claim_ids, r.relation, r.rationale) for r in reports.merged_links(refs, clusters).collect()]
+    assert got == [(["a", "b"], "rel", "why"), (["s", "t"], "cross_reference", None), ([], "cross_reference", None), (["s"], "kind", None), (["p", "q", "r"], "cross_reference", "theme")]
+
+
+def test_structural_notes(spark):
+    from tessera.operators import reports
+
+    rows = [("internal_memo", 0, None), ("internal_memo", 1, "MAIN HEADER\n1. x  | y"), ("internal_memo", 2, "word " * 4000), ("other", 0, ""), ("other", 1, None), ("late", 9, "plain")] + [("late", i, "") for i in range(5)]
+    got = {r.document_type: r.notes for r in reports.structural_notes(spark.createDataFrame(rows, "document_type string, doc_ord int, content string")).collect()}
+    assert got == {"internal_memo": [reports.NUMBERED, reports.HEADERS, reports.TABULAR, reports.LENGTH_NOTES[1][1], reports.TYPE_NOTES["internal_memo"]], "other": [reports.NO_TEXT], "late": [reports.NO_TEXT]}
+
+
+def test_pairs_are_drawn_by_similarity(spark):
+    pairs = spark.createDataFrame([(1, 1, 2, 0.9), (1, 1, 3, 0.1), (2, 1, 2, 0.0), (2, 3, 4, 0.0)], "case_id int, doc_a int, doc_b int, similarity double")
+    got = sampling.chosen_pairs(pairs, 1000, 3).collect()
+    share = lambda case, x: sum({r.source, r.target} == x for r in got if r.case_id == case) / 1000
+    assert abs(share(1, {1, 2}) - 0.9) < 0.04 and abs(share(2, {1, 2}) - 0.5) < 0.06 and abs(sum(r.source < r.target for r in got) / 2000 - 0.5) < 0.05
+
+
+def test_verification_of_context_and_schema(spark):
+    old = spark.createDataFrame([(1, "abc" * 100), (2, "abc" * 100)], "doc_id int, content string")
+    new = spark.createDataFrame([(1, "abc" * 100 + "!"), (2, "abc" * 100 + "?")], "doc_id int, content string")
+    labels = spark.createDataFrame([(0, [1], 300, 301, []), (1, [2], 300, 301, ["difficulty"]), (2, [], 0, 0, []), (3, [9], 0, 0, [])], "label_idx int, refs array<int>, char_start int, char_end int, errors array<string>")
+    got = {r.label_idx: (r.passed, r.reason) for r in text.verified(labels, old, new).collect()}
+    assert got == {0: (True, None), 1: (False, "invalid label"), 2: (False, "no references"), 3: (False, "missing document")}
