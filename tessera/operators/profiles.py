@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import written
 from tessera.operators.classify import CANONICAL_TYPES
 
 # Thresholds of text quality and of the gates.
@@ -14,21 +15,23 @@ GATES = {"min_cases_with_docs": 5, "min_docs_per_case": 10, "min_document_types"
 REGULATION = r"\b14\s+CFR\s+(?:Part\s+)?\d+(?:\.\d+)?\b"
 DIRECTIVE = r"\bAD\s+\d{4}-\d{2}-\d{2}\b"
 REGULATIONS_A_DOCUMENT = 10
-WORD = r"(?U)\S+"
+WORD, GAP = r"(?U)\S+", r"(?U)\s+"
 
 
-def text_quality(docs: DataFrame, word: str = WORD) -> DataFrame:
+def text_quality(docs: DataFrame) -> DataFrame:
     """Adds char_ratio (printable), avg_word_length, word_count, line_count and passed; blank texts have zeros and do not pass."""
     t = F.col("content")
-    words = F.regexp_count(t, F.lit(word))
+    words = F.regexp_count(t, F.lit(WORD))
     blank = F.coalesce(words == 0, F.lit(True))
-    letters = F.length(F.array_join(F.regexp_extract_all(t, F.lit(word), F.lit(0)), ""))
+    # What is left of the text without its gaps, and without what can't be printed: fewer matches than words or characters.
+    letters = F.length(F.regexp_replace(t, F.lit(GAP), F.lit("")))
+    printable = F.length(F.regexp_replace(t, F.lit("[^\t-\r -~]+"), F.lit("")))
     docs = docs.select(
         "*",
-        F.when(blank, 0.0).otherwise(F.regexp_count(t, F.lit("[\t-\r -~]")) / F.length(t)).alias("char_ratio"),
+        F.when(blank, 0.0).otherwise(printable / F.length(t)).alias("char_ratio"),
         F.when(blank, 0.0).otherwise(letters / words).alias("avg_word_length"),
         F.when(blank, 0).otherwise(words).cast("bigint").alias("word_count"),
-        F.when(blank, 0).otherwise(F.regexp_count(t, F.lit("\n")) + 1).cast("bigint").alias("line_count"),
+        F.when(blank, 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line_count"),
     )
     q = QUALITY
     return docs.withColumn("passed", (F.col("char_ratio") >= q["min_char_ratio"]) & (F.col("word_count") >= q["min_word_count"]) & F.col("avg_word_length").between(q["min_avg_word_length"], q["max_avg_word_length"]))
@@ -36,9 +39,9 @@ def text_quality(docs: DataFrame, word: str = WORD) -> DataFrame:
 
 def type_profiles(docs: DataFrame) -> DataFrame:
     """Counts, word and line statistics and the first five titles of each type, over documents that passed."""
-    good = docs.where("passed and document_type is not null")
+    good = written(docs.where("passed and document_type is not null").select("document_type", "doc_ord", F.left("title", F.lit(100)).alias("title"), "word_count", "line_count"))
     first = good.withColumn("nth", F.row_number().over(Window.partitionBy("document_type").orderBy("doc_ord"))).where("nth <= 5")
-    titles = first.groupBy("document_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "title"))), lambda x: F.left(x["title"], F.lit(100))), " | ").alias("example_titles"))
+    titles = first.groupBy("document_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "title"))), lambda x: x["title"]), " | ").alias("example_titles"))
     stats = good.groupBy("document_type").agg(
         F.count("*").alias("count"), F.min("word_count").alias("word_count_min"), F.max("word_count").alias("word_count_max"), F.bround(F.avg("word_count"), 1).alias("word_count_mean"), F.bround(F.avg("line_count"), 1).alias("avg_line_count")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import written
 from tessera.operators import graph as G
 from tessera.plans import tables as T
 from tessera.plans.registry import query
@@ -102,7 +103,7 @@ def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 h2 as (select distinct b as node from both_ where a in (select node from h1) and b not in (select node from h0) and b not in (select node from h1))
 select node, 0 as hops from h0 union all select node, 1 from h1 union all select node, 2 from h2""")
 def khop_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = G.document_edges(T.claims(spark, sf_dir))
+    e = written(G.document_edges(T.claims(spark, sf_dir)))
     return G.k_hops(e, G.ends(e).agg(F.min("a").alias("node")), 2)
 
 
