@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 #: Rows and bytes (by the planner's figure) up to which a side of a join may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Edges for each file of what component rounds write.
+ROWS_A_FILE = 50_000
 U64 = np.uint64
 _own_dir: str | None = None
 
@@ -21,7 +25,7 @@ _own_dir: str | None = None
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds what one Arrow batch carries, for texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 
@@ -34,13 +38,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows read back from a Parquet table in the shared folder: lineage ends there and a lost executor costs only its tasks."""
+def written(df: DataFrame, files: int | None = None) -> DataFrame:
+    """The same rows read back from a Parquet table in the shared folder: lineage ends there and a lost executor costs only its tasks. At most ``files`` tasks write it, if given: for tables that are known to be small."""
     path = shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """``run`` over Arrow batches; at its end the worker, which lives on for other stages, gives free memory back."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,19 +107,20 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     pairs = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where(F.col(u).isNotNull() & F.col(v).isNotNull())
     pairs, labels = written(pairs.distinct()), None
+    files = -(-pairs.count() // ROWS_A_FILE) or 1
     while True:
         both = pairs.union(pairs.select("b", "a"))
-        roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+        roots = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), files)
         while True:
             above = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = written(roots.join(above, "root").select("node", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved")))
+            jumped = written(roots.join(above, "root").select("node", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved")), files)
             roots = jumped.select("node", "root")
             if not jumped.where("moved").limit(1).count():
                 break
         above = roots.select(F.col("node").alias("component"), F.col("root").alias("next"))
-        labels = roots.withColumnRenamed("root", "component") if labels is None else written(labels.join(above, "component", "left").select("node", F.coalesce("next", "component").alias("component")))
+        labels = roots.withColumnRenamed("root", "component") if labels is None else written(labels.join(above, "component", "left").select("node", F.coalesce("next", "component").alias("component")), files)
         ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
         inner = pairs.where("a <> b").join(ends[0], "a").join(ends[1], "b").where("a_root <> b_root")
-        pairs = written(inner.select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).distinct())
+        pairs = written(inner.select(F.greatest("a_root", "b_root").alias("a"), F.least("a_root", "b_root").alias("b")).distinct(), files)
         if not pairs.limit(1).count():
             return labels

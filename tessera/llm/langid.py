@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import byte_slices, table, tuned
+from tessera.llm.common import byte_slices, lean, table, tuned
 
 #: Labelled rows learned from at most, those of least hash, and bytes of each from a place drawn by the seed.
 TRAIN_ROWS, TRAIN_BYTES = 1_500, 20_000
@@ -195,7 +195,7 @@ def identified(docs: DataFrame, net: Network) -> DataFrame:
                 langs = [net.langs[k] if good else UNKNOWN for k, good in zip(p.argmax(1), known, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(langs, pa.string()), pa.array(np.where(known, np.minimum(p.max(1), 1.0), 0.0))], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")).mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:

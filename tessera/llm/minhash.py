@@ -7,13 +7,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, byte_slices, components, mix, sized, table, tuned, unit, written
+from tessera.llm.common import U64, byte_slices, components, lean, mix, sized, table, tuned, unit, written
 from tessera.llm.shingles import WORDS, counted, overlaps, shingles
 
 BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
 #: Texts of a block in the exact comparison of what stars leave apart.
 BLOCK = 256
+#: Elements that a text and the texts of a block share, looked at at once.
+MATCHES = 1 << 20
 #: Points made at once.
 POINTS = 1 << 19
 
@@ -95,7 +97,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WOR
 
     import pyarrow.compute  # noqa: F401
 
-    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(lean(run), "doc_id long, key binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -108,7 +110,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
 
     left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
     both = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "left", "right").mapInArrow(lean(run), "a binary, b binary")
 
 
 def elements(texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -125,7 +127,7 @@ def elements(texts: DataFrame, words: int = WORDS) -> DataFrame:
                 parts = np.split(e, np.searchsorted(doc[row], np.arange(1, len(off) - 1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([np.sort(x).tobytes() for x in parts], pa.binary())], names=["key", "es"])
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, es binary")
+    return texts.select("key", "text").mapInArrow(lean(run), "key binary, es binary")
 
 
 def overlapping(asked: list[np.ndarray], have: list[np.ndarray], apart: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -139,10 +141,12 @@ def overlapping(asked: list[np.ndarray], have: list[np.ndarray], apart: np.ndarr
         near = apart[i] & (np.minimum(size, len(x)) >= similarity * np.maximum(size, len(x)) - 1e-9)
         if not near.any():
             continue
-        low, high = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
-        many = high - low
-        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        shared = np.bincount(owner[at], minlength=len(have))
+        shared = np.zeros(len(have), np.int64)
+        for k in range(0, len(x), max(1, MATCHES // len(have))):
+            low, high = (np.searchsorted(flat, x[k : k + max(1, MATCHES // len(have))], side) for side in ("left", "right"))
+            many = high - low
+            at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            shared += np.bincount(owner[at], minlength=len(have))
         hit = np.flatnonzero(near & (shared >= similarity * (size + len(x) - shared) - 1e-9) & (shared > 0))
         i_.append(np.full(len(hit), i))
         j_.append(hit)
@@ -188,7 +192,7 @@ def across(texts: DataFrame, placed: DataFrame, similarity: float = SIMILARITY,
                 pairs = [(r["q_keys"][out[i[k]]], r["keys"][j[k]]) for k in first]
                 yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in pairs], pa.binary()), pa.array([min(x) for x in pairs], pa.binary())], names=["a", "b"])
 
-    return blocks.drop("block", "outside").join(asks, "shelf").drop("shelf").mapInArrow(run, "a binary, b binary").distinct()
+    return blocks.drop("block", "outside").join(asks, "shelf").drop("shelf").mapInArrow(lean(run), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:

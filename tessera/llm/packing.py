@@ -14,12 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, table, tuned, written
+from tessera.llm.common import lean, shared_dir, table, tuned, written
 
 LENGTH = 2048
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a Python worker remembers at once, and characters of a word that is remembered.
-CACHE_WORDS, WORD = 600_000, 64
+CACHE_WORDS, WORD = 300_000, 64
 #: Text that is tokenised at once, in bytes; at least one text.
 SLICE = 8 << 20
 #: Size ranges that are swept apart in each round; the round over a single range comes last.
@@ -164,7 +164,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) ->
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, KINDS, strict=True)], names=NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), PIECES)
 
 
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
@@ -285,7 +285,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER) -> D
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     numbered = cut.join(by_part.select("length", "part", "base"), ["length", "part"], "left").withColumn("nth", F.col("rank") + F.coalesce("base", F.lit(0)))
-    return numbered.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(lean(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, byte_slices, mix, sized, table, tuned, written
+from tessera.llm.common import U64, byte_slices, lean, mix, sized, table, tuned, written
 from tessera.llm.shingles import between, prefix
 
 LENGTH, GRAM = 400, 32
@@ -221,7 +221,7 @@ def find_anchors(texts: DataFrame, piece: int = PIECE) -> DataFrame:
                     ints = [pa.array((x - own).astype(np.int32)) for x in (p, a, b)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(h.view(np.int64)), pa.array(span[:, 0]), pa.array(span[:, 1]), *ints], names=["key", "tag", "h", "span", "span2", "p", "a", "b"])
 
-    return texts.select("key", "tag", "text").mapInArrow(run, ANCHOR)
+    return texts.select("key", "tag", "text").mapInArrow(lean(run), ANCHOR)
 
 
 def cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     spots = wanted.groupBy("key", "tag").agg(F.collect_list(F.struct("h", "members", "p", "a", "b")).alias("spots"))
-    return texts.join(spots, ["key", "tag"]).select("key", "tag", "text", "spots").mapInArrow(run, "key binary, tag long, h long, members long, a int, p int, context binary")
+    return texts.join(spots, ["key", "tag"]).select("key", "tag", "text", "spots").mapInArrow(lean(run), "key binary, tag long, h long, members long, a int, p int, context binary")
 
 
 def in_groups(contexts: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def in_groups(contexts: DataFrame) -> DataFrame:
             yield from done(pa.Table.from_batches(held))
 
     parted = contexts.drop("members").repartition("h").sortWithinPartitions("h")
-    return parted.select("key", "tag", "h", "a", "p", "context").mapInArrow(run, FOUND)
+    return parted.select("key", "tag", "h", "a", "p", "context").mapInArrow(lean(run), FOUND)
 
 
 def in_windows(contexts: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def in_windows(contexts: DataFrame) -> DataFrame:
                 one = lambda x, t: pa.array([x] * many, t)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([one(key, pa.binary()), one(tag, pa.int64()), one(h, pa.int64()), one(a, pa.int32()), pa.array(range(many), pa.int32()), pa.array(w, pa.binary())], names=["key", "tag", "h", "a", "s", "w"])
 
-    every = written(contexts.select("key", "tag", "h", "a", "p", "context").mapInArrow(run, "key binary, tag long, h long, a int, s int, w binary"))
+    every = written(contexts.select("key", "tag", "h", "a", "p", "context").mapInArrow(lean(run), "key binary, tag long, h long, a int, s int, w binary"))
     twice = every.groupBy("h", "w").count().where("count > 1").select("h", "w")
     hit = every.join(twice, ["h", "w"]).groupBy("key", "tag", "a").agg(F.min("s").alias("low"), F.max("s").alias("high"))
     return hit.select("key", "tag", (F.col("a") + F.col("low")).cast("int").alias("a"), (F.col("a") + F.col("high") + LENGTH).cast("int").alias("e"))
@@ -313,7 +313,7 @@ def removed(texts: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(d, pa.string())], names=["key", "n_removed", "n_spans", "kept_sha256"])
 
     by_text = found.groupBy("key", "tag").agg(F.collect_list(F.struct("a", "e")).alias("found"))
-    return texts.join(by_text, ["key", "tag"]).select("key", "text", "found").mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string")
+    return texts.join(by_text, ["key", "tag"]).select("key", "text", "found").mapInArrow(lean(run), "key binary, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, whole: int = WHOLE, piece: int = PIECE) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, tuned
+from tessera.llm.common import lean, table, tuned
 
 #: Labelled rows that a lexicon is learned from, of each label at most.
 TRAIN_ROWS = 2_500
@@ -153,7 +153,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[*names, "score", "predicted"])
 
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    return docs.toDF(*names).mapInArrow(run, f"{kinds}, score double, predicted int").toDF(*docs.columns, "score", "predicted")
+    return docs.toDF(*names).mapInArrow(lean(run), f"{kinds}, score double, predicted int").toDF(*docs.columns, "score", "predicted")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
