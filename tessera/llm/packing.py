@@ -20,6 +20,8 @@ LENGTH = 2048
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a Python worker remembers at once, and characters of a word that is remembered.
 CACHE_WORDS, WORD = 300_000, 64
+#: Words encoded in one call.
+SOME = 10_000
 #: Text that is tokenised at once, in bytes; at least one text.
 SLICE = 8 << 20
 #: Size ranges that are swept apart in each round; the round over a single range comes last.
@@ -60,7 +62,9 @@ class WordIds:
 
     def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, each after a space; number of ids of each). No word is empty or has white space at an end, so a token begins with a space where a word does."""
-        ids = self.whole([" " + " ".join(words)])[0] if words else np.zeros(0, np.uint32)
+        # What the tokenizer returns is far larger than the ids, so some words at a time.
+        parts = [self.whole([" " + " ".join(words[i : i + SOME])])[0] for i in range(0, len(words), SOME)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *parts])
         return ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
 
     def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
