@@ -19,11 +19,11 @@ from tessera.llm.common import lean, shared_dir, table, tuned, written
 LENGTH = 2048
 TOKENIZER = "byte_bpe_50k.json"
 #: Words whose ids a Python worker remembers at once, and characters of a word that is remembered.
-CACHE_WORDS, WORD = 300_000, 64
+CACHE_WORDS, WORD = 600_000, 64
 #: Words encoded in one call.
 SOME = 10_000
 #: Text that is tokenised at once, in bytes; at least one text.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Size ranges that are swept apart in each round; the round over a single range comes last.
 RANGES = (16, 8, 4, 2)
 #: The sequences that a piece of more than half the length opens are numbered size * OPENED + rank.
