@@ -12,11 +12,14 @@ _own_dir: str | None = None
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows read back from Parquet under spark.checkpoint.dir; under a temporary folder only where that is unset."""
+    """The same rows read back from Parquet under spark.checkpoint.dir. Where that is unset a temporary folder serves a local master; on a cluster other machines couldn't read it, so that fails."""
     global _own_dir
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or _own_dir
     if not top:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         top = _own_dir = tempfile.mkdtemp(prefix="tessera-")
     path = f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -51,6 +51,14 @@ def link_edges(links: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.min(F.struct("link_id", "relation")).alias("x")).select("a", "b", "x.*")
 
 
+def claim_edges(links: DataFrame, claims: DataFrame) -> DataFrame:
+    """(a, b, link_id, relation) between the claims (claim_id) of a link that are there; a claim that a link names twice has an edge to itself. The first link of a pair wins."""
+    own = links.select("link_id", "relation", F.explode("claim_ids").alias("claim_id")).groupBy("link_id", "relation", "claim_id").agg(F.count("*").alias("n"))
+    own = own.where("n > 1").join(claims.select("claim_id").distinct(), "claim_id", "left_semi")
+    loops = own.groupBy(F.col("claim_id").alias("a")).agg(F.min(F.struct("link_id", "relation")).alias("x")).select("a", F.col("a").alias("b"), "x.*")
+    return link_edges(links, claims.select("claim_id", F.col("claim_id").alias("member")).distinct()).unionByName(loops)
+
+
 def unified_links(raw: DataFrame) -> DataFrame:
     """Links of several shapes (source_claim and target_claim, from_claim and to_claim, relationship or relation) as (a, b, relation); empty strings count as missing."""
     some = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names if n in raw.columns])
@@ -77,6 +85,31 @@ def degrees(edges: DataFrame) -> DataFrame:
     return d.join(F.broadcast(most)).select("node", "degree", F.sqrt(F.col("degree") / F.col("most")).alias("size"), (F.col("degree") >= 10).alias("hub"))
 
 
+def edge_width(weight: Column) -> Column:
+    """How wide an edge is drawn: by the logarithm of its weight (1 if missing or 0), from 0.5 to 2."""
+    w = F.coalesce(F.nullif(weight, F.lit(0)), F.lit(1))
+    return F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.lit(0.5) + F.log2(w + 1) * 0.5))
+
+
+def edges_between(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The edges of the pairs (a, b), whichever end comes first in either; the pair's ends are kept as given."""
+    key = lambda x, one, two: x.withColumns({"_lo": F.least("a", "b"), "_hi": F.greatest("a", "b")}).withColumnsRenamed({"a": one, "b": two})
+    return key(pairs, "a", "b").join(key(edges, "_a", "_b"), ["_lo", "_hi"]).drop("_lo", "_hi", "_a", "_b")
+
+
+def visible(nodes: DataFrame, edges: DataFrame, overlays: list[str] = (), focus: DataFrame | None = None, q: str = "", **kinds: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges that ``filtered`` leaves of those in focus (node) that every overlay (a column with a count) touches, and one row of counts: nodes, edges, and nodes (label) that match a search."""
+    for c in overlays:
+        nodes = nodes.where(F.col(c) > 0)
+    if focus is not None:
+        nodes = nodes.join(focus.select("node").distinct(), "node", "left_semi")
+    n, e = filtered(nodes, edges, **kinds)
+    hit = matches(F.col("label"), F.col("node").cast("string"), q) if q.strip() else F.lit(False)
+    counts = n.agg(F.count("*").alias("nodes"), F.count_if(F.coalesce(hit, F.lit(False))).alias("matches"))
+    # Both sides are a single row.
+    return n, e, counts.withColumn("_k", F.lit(1)).join(e.agg(F.count("*").alias("edges")).withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 def filtered(nodes: DataFrame, edges: DataFrame, include: list[str] = (), exclude: list[str] = (), edge_include: list[str] = (), edge_exclude: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, kind) and edges (a, b, kind) that tri-state filters leave: with included kinds only those, never excluded ones; an edge needs both its ends."""
     keep = lambda kind, yes, no: (F.col(kind).isin(*yes) if yes else F.lit(True)) & (~F.col(kind).isin(*no) if no else F.lit(True))
@@ -103,20 +136,39 @@ def k_hops(edges: DataFrame, start: DataFrame, k: int) -> DataFrame:
     return seen
 
 
-def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, depth) from the node of most edges, the first of equals; nodes out of reach lie one below the deepest. The frontier is a written table each round."""
+def levels(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(node, depth) of the nodes that can be reached from the node of most edges, the first of equals, and the deepest level. The frontier is a written table each round."""
     both = written(ends(edges).distinct())
-    root = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(1).select("node")
+    counted = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"))
+    # Where there are no edges the first node is the root.
+    first = nodes.agg(F.min("node").alias("node")).where("node is not null").withColumn("n", F.lit(0).cast("bigint"))
+    root = counted.union(first).orderBy(F.desc("n"), "node").limit(1).select("node")
     seen, depth = written(root.withColumn("depth", F.lit(0))), 0
     front = seen.select("node")
     while True:
         depth += 1
         front = written(both.join(front, F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti"))
         if front.limit(1).count() == 0:
-            return nodes.select("node").join(seen, "node", "left").select("node", F.coalesce("depth", F.lit(depth)).alias("depth"))
+            return seen, depth - 1
         seen = seen.union(front.withColumn("depth", F.lit(depth)))
 
 
+def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, depth) from the node of most edges; nodes out of reach lie one below the deepest."""
+    seen, deepest = levels(edges, nodes)
+    return nodes.select("node").join(seen, "node", "left").select("node", F.coalesce("depth", F.lit(deepest + 1)).alias("depth"))
+
+
+def rings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, x, y): nodes in rings by depth, evenly round each in the order of their names; nodes out of reach have the outermost. Places come from numbers over all rings, so no ring is sorted in one task."""
+    seen, deepest = levels(edges, nodes)
+    at = nodes.select("node").join(seen, "node", "left").select("node", F.coalesce("depth", F.lit(deepest + 1)).alias("depth"), F.col("node").cast("string").alias("name"))
+    at = written(numbered(at, "depth", "name"))
+    ring = at.groupBy("depth").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    turn, radius = 2 * F.pi() * (F.col("i") - F.col("first")) / F.col("n"), F.col("depth") / (max(deepest, 1) + 0.5)
+    return at.join(ring, "depth").select("node", (radius * F.cos(turn)).alias("x"), (radius * F.sin(turn)).alias("y"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each reaches. Labels pass to neighbours and through labels, so paths halve each round."""
     both = written(ends(edges).distinct())

@@ -79,6 +79,34 @@ def quality_gates(summaries: DataFrame, types: DataFrame, profiles: DataFrame) -
     return out.union(row(d, "G4", F.col("x"), g["min_shared_entities"], lambda v: v >= g["min_shared_entities"]))
 
 
+# What a gate measures and what to do where it fails.
+ACTIONS = {
+    "G1": ("dockets_with_docs", "Try additional docket candidates"),
+    "G2": ("low_quality_dockets", "Re-extract with alternative settings"),
+    "G3": ("document_types", "Note: press_coverage is synthetic-only"),
+    "G4": ("shared_entities", "Expand docket selection for more overlap"),
+}
+
+
+def gate_report(gates: DataFrame) -> DataFrame:
+    """``gates`` with the metric of each and the action where it failed (empty where it passed)."""
+    told = lambda i: F.create_map(*[F.lit(x) for k, v in ACTIONS.items() for x in (k, v[i])])[F.col("gate")]
+    return gates.withColumns({"metric": told(0), "action": F.when(F.col("passed"), "").otherwise(told(1))})
+
+
+def failed_gates(gates: DataFrame) -> DataFrame:
+    """One row: whether all gates passed, and the names of those that failed."""
+    return gates.agg(F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"), F.array_sort(F.collect_list(F.when(~F.col("passed"), F.col("gate")))).alias("failed"))
+
+
+def taxonomy_notes(types: DataFrame) -> DataFrame:
+    """(note): which canonical types the documents lack, in their order, and that one of them is expected to be absent."""
+    order = F.array_position(F.array(*map(F.lit, CANONICAL_TYPES)), F.col("document_type"))
+    gone = types.where("not present").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "document_type"))), lambda x: x["document_type"]).alias("gone")).where("size(gone) > 0")
+    press = F.when(F.array_contains("gone", "press_coverage"), "press_coverage is expected absent: such sources don't hold press articles")
+    return gone.select(F.explode(F.array_compact(F.array(F.concat(F.lit("Types not found in scraped data: "), F.array_join("gone", ", ")), press))).alias("note"))
+
+
 def normal_name(name: Column) -> Column:
     """Trimmed, lower case, without a leading "the " and then "a ", single spaces."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "^the ", ""), "^a ", ""), r"\s+", " ")

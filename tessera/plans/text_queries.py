@@ -140,10 +140,14 @@ def cross_case_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cross_case(P.entity_profiles(mentions(spark, sf_dir)))
 
 
-@query("quality_gates", f"""with {PROFILES}, s as (select case_id, count(*) as total, round_even(count_if(passed) / count(*), 4) as clean_rate from t group by 1),
+def quality_gates_sql() -> str:
+    return f"""with {PROFILES}, s as (select case_id, count(*) as total, round_even(count_if(passed) / count(*), 4) as clean_rate from t group by 1),
 x as (select 'G1' as gate, (select count_if(total >= 10) from s)::double as actual, 5.0::double as threshold union all select 'G2', (select count_if(clean_rate < 0.8) from s), 0.0
   union all select 'G3', (select count(distinct document_type) from t), 6.0 union all select 'G4', (select count(distinct key) from p where n_cases >= 2), 10.0)
-select gate, actual, threshold, case when gate = 'G2' then actual = 0 else actual >= threshold end as passed from x""")
+select gate, actual, threshold, case when gate = 'G2' then actual = 0 else actual >= threshold end as passed from x"""
+
+
+@query("quality_gates", quality_gates_sql())
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = typed(spark, sf_dir)
     return P.quality_gates(P.case_summaries(docs), docs, P.entity_profiles(mentions(spark, sf_dir)))
