@@ -30,10 +30,13 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """A new folder name under spark.checkpoint.dir. Where that is unset, as in tests, a temporary folder serves a local master; on a cluster other machines couldn't read it, so that fails."""
     global _own_dir
     top = spark.conf.get("spark.checkpoint.dir", None) or _own_dir
     if not top:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         top = _own_dir = tempfile.mkdtemp(prefix="tessera-")
     return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
