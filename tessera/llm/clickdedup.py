@@ -24,6 +24,9 @@ BLOB = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("repeats", pa.int6
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Many small stores, and new ones at each start: no space set aside, those of ended starts closed soon.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
 }
 
 
