@@ -24,14 +24,14 @@ def plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 PLAN = """p as (select *, row_number() over (partition by doc_id order by place) as k from (select doc_id, i as place, case i % 3 when 0 then w[i + 2] when 1 then w[i * 2 + 1] else '<' end as old, '<' || doc_id || '.' || i || '>' as new, case when i % 4 = 3 then i end as line
       from (select doc_id, string_split(coalesce(text, ''), ' ') as w from documents), range(0, 6) t(i) where i <= doc_id % 6) where old <> '' or old is null),
     r as (select doc_id, 0::bigint as k, coalesce(text, '') as t, []::struct(place bigint, ok boolean, s bigint, e bigint, a bigint, b bigint)[] as spans from documents where doc_id % 9 <> 8
-      union all select doc_id, k, case when at < 0 then t else left(t, at) || ins || substr(t, at + size + 1) end,
-        list_append(list_transform(spans, lambda x: case when at < 0 then x else {'place': x.place, 'ok': x.ok, 's': x.s, 'e': x.e,
-          'a': case when x.a >= at + size then x.a + length(ins) - size when x.b <= at then x.a end, 'b': case when x.a >= at + size then x.b + length(ins) - size when x.b <= at then x.b end} end),
-          {'place': place, 'ok': at >= 0, 's': case when at < 0 then null when line is null then instr(left(t, at) || ins || substr(t, at + size + 1), ins) - 1 else at end,
-           'e': case when at < 0 then null when line is null then instr(left(t, at) || ins || substr(t, at + size + 1), ins) - 1 + length(ins) else at + length(ins) end,
-           'a': case when at >= 0 then at end, 'b': case when at >= 0 then at + length(ins) end})
+      union all select doc_id, k, case when pos < 0 then t else left(t, pos) || ins || substr(t, pos + size + 1) end,
+        list_append(list_transform(spans, lambda x: case when pos < 0 then x else {'place': x.place, 'ok': x.ok, 's': x.s, 'e': x.e,
+          'a': case when x.a >= pos + size then x.a + length(ins) - size when x.b <= pos then x.a end, 'b': case when x.a >= pos + size then x.b + length(ins) - size when x.b <= pos then x.b end} end),
+          {'place': place, 'ok': pos >= 0, 's': case when pos < 0 then null when line is null then instr(left(t, pos) || ins || substr(t, pos + size + 1), ins) - 1 else pos end,
+           'e': case when pos < 0 then null when line is null then instr(left(t, pos) || ins || substr(t, pos + size + 1), ins) - 1 + length(ins) else pos + length(ins) end,
+           'a': case when pos >= 0 then pos end, 'b': case when pos >= 0 then pos + length(ins) end})
       from (select r.doc_id, p.k, t, spans, place, line, case when line is null then new else ' ' || trim(new) || ' ' end as ins, case when line is null then length(old) else 0 end as size,
-        case when line is not null then least(length(array_to_string(string_split(t, chr(10))[1:line + 1], chr(10))) + 1, length(t)) when old is null then -1 else instr(t, old) - 1 end as at from r join p on p.doc_id = r.doc_id and p.k = r.k + 1)),
+        case when line is not null then least(length(array_to_string(string_split(t, chr(10))[1:line + 1], chr(10))) + 1, length(t)) when old is null then -1 else instr(t, old) - 1 end as pos from r join p on p.doc_id = r.doc_id and p.k = r.k + 1)),
     last as (select * from (select *, max(k) over (partition by doc_id) as m from r) where k = m)"""
 
 
