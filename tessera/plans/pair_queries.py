@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import matching as M
 from tessera.operators import pairs as P
+from tessera.operators import toppairs as O
 from tessera.plans import tables as T
 from tessera.plans.registry import query
 
@@ -26,7 +27,7 @@ scored as (select shared.case_id, doc_a, doc_b, overlap * (1 + 0.5 * (len(list_f
            from shared join s x on x.doc_ord = doc_a and x.case_id = shared.case_id join s y on y.doc_ord = doc_b and y.case_id = shared.case_id)
 {BEST}""")
 def pair_keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.best(P.keyword_pairs(T.docs(spark, sf_dir)), 10)
+    return O.keyword_topk(T.docs(spark, sf_dir), 10)
 
 
 FEATURES = f"""{TOKENS}, f as (select case_id, doc_ord, len(w)::double as word_count, len(list_distinct(w)) / greatest(1, len(w)) as unique_ratio, length(array_to_string(w, '')) / greatest(1, len(w)) as avg_word_length,
@@ -37,7 +38,7 @@ DISTANCE = " + ".join(f"pow((a.{f} - b.{f}) / greatest(abs(a.{f}), abs(b.{f}), 1
 
 @query("pair_surface_divergence_topk", f"with {FEATURES}, scored as (select a.case_id, a.doc_ord as doc_a, b.doc_ord as doc_b, sqrt({DISTANCE}) as score from f a join f b on a.case_id = b.case_id and a.doc_ord < b.doc_ord) {BEST}")
 def pair_surface_divergence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.best(P.divergent_pairs(P.surface_features(T.docs(spark, sf_dir))), 10)
+    return O.divergent_topk(P.surface_features(T.docs(spark, sf_dir)), 10)
 
 
 @query("doc_surface_features", f"with {FEATURES} select case_id, doc_ord, {', '.join(f'round({f}, 6) as {f}' for f in P.FEATURES)} from f")
