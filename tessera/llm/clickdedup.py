@@ -276,4 +276,27 @@ def op13_click_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op13_click_dedup": op13_click_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # crc32 by its table of 256 remainders, a byte at a time.
+    "op13_click_dedup": r"""with recursive poly as (select b, b as x, 0 as i from range(0, 256) t(b) union all select b, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, i + 1 from poly where i < 8),
+    crc as (select list(x order by b) as r from poly where i = 8),
+    j as (select *, unnest(range(0, click_id % 3 + 1)) as j from clicks where click_id is not null and arrived_at is not null),
+    c as (select j.*, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(click_id || ':' || j, '.'), lambda s: ascii(s)::bigint)), lambda a, b: xor(a >> 8, r[(xor(a, b) & 255) + 1])), 4294967295) as c from j, crc),
+    h as (select click_id, epoch_us(arrived_at) // 3600000000 + 6 * j * (c % 10) as hour, c // 10 % 200 as delay,
+      sha256(concat_ws('|', coalesce(client_id::varchar, ''), coalesce(kind, ''), coalesce(floor(100 * value + 0.5)::bigint::varchar, ''), coalesce(epoch_us(ts)::varchar, ''), coalesce(props, ''), (c % 3)::varchar)) as hash from c),
+    b as (select *, ((hour + delay - min(hour + delay) over ()) * 12 // (max(hour + delay) over () - min(hour + delay) over () + 1)) as batch from h),
+    most as (select batch, max(max(hour)) over (order by batch rows between unbounded preceding and 1 preceding) as m, max(max(hour)) over (order by batch) as upto from (select batch, hour from b union all select unnest(range(0, 12)), null) group by batch),
+    seq as (select b.*, row_number() over (partition by click_id order by b.batch, hour, hash) as k from b join most using (batch) where b.batch = 0 or m is null or hour >= m - 48),
+    -- The batch after which a window that starts at some hour closes.
+    ends as (select start, coalesce(min(batch), 11) as closes from (select distinct hour as start from seq) left join most on start + 72 < upto - 48 and batch < 11 group by start),
+    late as (select start, batch, min(closes) as closes from (select e.start, o.batch, n.batch as closes from ends e, (select unnest(range(0, 12)) as batch) o, most n where n.batch >= o.batch and (n.batch = 11 or e.start + 72 < n.upto - 48)) group by all),
+    walk as (select click_id, k, batch, hour, hash, k as opener, hour as start, batch as opened from seq where k = 1
+      union all select s.click_id, s.k, s.batch, s.hour, s.hash, case when keep then opener else s.k end, case when keep then start else s.hour end, case when keep then opened else s.batch end
+      from (select w.click_id, w.opener, w.start, w.opened, s.k, s.batch, s.hour, s.hash, s.hour <= w.start + 72 and s.batch <= l.closes as keep from walk w join seq s on s.click_id = w.click_id and s.k = w.k + 1 join late l on l.start = w.start and l.batch = w.opened) s),
+    win as (select click_id, opener, any_value(start) as start, any_value(opened) as opened, count(*) - 1 as n_repeats from walk group by all),
+    nxt as (select click_id, opener, lead(opened) over (partition by click_id order by opener) as next from win),
+    odd as (select w.click_id, w.opener, count(*) as n_conflicts, sum(xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(w.hash, '.'), lambda s: ascii(s)::bigint)), lambda a, b: xor(a >> 8, r[(xor(a, b) & 255) + 1])), 4294967295))::bigint as conflict_crc
+      from walk w join seq s on s.click_id = w.click_id and s.k = w.opener cross join crc where w.hash <> s.hash group by all)
+    select w.click_id, w.start as start_hour, least(l.closes, coalesce(next, 11))::bigint as closed_batch, n_repeats, coalesce(n_conflicts, 0) as n_conflicts, coalesce(conflict_crc, 0) as conflict_crc, s.hash
+    from win w join nxt using (click_id, opener) join late l on l.start = w.start and l.batch = w.opened join seq s on s.click_id = w.click_id and s.k = w.opener left join odd o on o.click_id = w.click_id and o.opener = w.opener""",
+}

@@ -95,7 +95,7 @@ class Tests:
     """Test texts and the suffixes that begin a window: ``WINDOW`` words, or all words of a shorter text."""
 
     def __init__(self, texts: pa.Array):
-        (_, _, buf, off), *_ = byte_slices(texts, 1 << 62)
+        _, _, buf, off = next(byte_slices(texts, 1 << 62), (0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
         self.words = w = Words(buf, off)
         count = np.diff(w.first)
         self.wide = np.minimum(count, WINDOW)
