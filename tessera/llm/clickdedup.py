@@ -27,6 +27,8 @@ STATE = {
     # Many small stores, and new ones at each start: no space set aside, those of ended starts closed soon.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
+    # A second file beside each file of the checkpoint costs as much as the file.
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
 }
 
 
