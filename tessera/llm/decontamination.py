@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import U64, byte_slices, lean, mix, table, tuned, written
 
@@ -219,8 +220,8 @@ def looked_at(docs: DataFrame, names: pa.Array, texts: pa.Array) -> DataFrame:
                 ends = pa.array(np.searchsorted(doc[order], np.arange(j - i + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(words.first)), pa.ListArray.from_arrays(ends, rows)], names=["doc", "text", "found", "n_words", "more"])
 
-    kind = docs.schema["doc"].dataType.simpleString()
-    return docs.select("doc", "text", "found").mapInArrow(lean(run), f"doc {kind}, text string, found {FOUND}, n_words long, more {FOUND}")
+    shape = T.StructType([docs.schema["doc"], docs.schema["text"], docs.schema["found"], T.StructField("n_words", T.LongType()), T.StructField("more", docs.schema["found"].dataType)])
+    return docs.select("doc", "text", "found").mapInArrow(lean(run), shape)
 
 
 def searched(docs: DataFrame, items: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:

@@ -39,7 +39,8 @@ class WordIds:
 
     A pre-token always ends before a single space between two characters that are not white space. So texts are cut
     there, each distinct word of a slice is looked up or encoded once, and the ids of the texts are gathered by word
-    number. Texts with any other space, at an end or beside white space, are encoded whole.
+    number. Texts with any other space, at an end or beside white space, are encoded whole, as are texts that hold one
+    of the tokenizer's added tokens, for those are found before words are.
     """
 
     def __init__(self, path: str):
@@ -47,7 +48,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.pieces = sorted({p for t in self.added for p in t.split(" ") if p})
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # a space, as the vocabulary writes it
@@ -69,7 +71,7 @@ class WordIds:
 
     def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of each word, -1 where it has white space at an end or nothing; ids and sizes of what is numbered)."""
-        odd = pc.or_(pc.equal(words, ""), pc.not_equal(pc.utf8_trim_whitespace(words), words)).to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.equal(words, ""), pc.not_equal(pc.utf8_trim_whitespace(words), words)).to_numpy(zero_copy_only=False) | holds(words, self.pieces)
         get, listed = self.index.get, words.to_pylist()
         found = np.fromiter((get(w, -1) for w in listed), np.int64, len(listed))
         unknown = np.flatnonzero((found < 0) & ~odd)
@@ -98,6 +100,7 @@ class WordIds:
         word = found[coded.indices.to_numpy()]
         # A word alone, or without white space at its end before the next, is encoded as it stands.
         odd = np.bincount(np.repeat(np.arange(len(many)), many)[word < 0], minlength=len(many)) > 0
+        odd |= holds(texts, self.added)
         heads = split.values.filter(pa.array(first))
         own = self.whole(pc.if_else(pa.array(odd), texts, heads).to_pylist())
         kept = ~np.repeat(odd, many) | first
@@ -111,6 +114,14 @@ class WordIds:
         return gathered, np.append(0, ends)[np.append(0, np.cumsum(many))]
 
 
+def holds(texts: pa.Array, strings: list[str]) -> np.ndarray:
+    """Whether each text has any of the strings in it."""
+    out = np.zeros(len(texts), bool)
+    for s in strings:
+        out |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+    return out
+
+
 def encoder(name: str) -> WordIds:
     """One for each Python worker."""
     if name not in _encoders:

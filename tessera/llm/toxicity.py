@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import pickle
 import re
 import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import lean, table, tuned
 
 #: Labelled rows that a lexicon is learned from, of each label at most.
 TRAIN_ROWS = 2_500
-#: Characters of a text that are learned from at most.
-TRAIN_CHARS = 50_000
 TERMS = 400
 #: Share of the toxic documents learned from that a term must be in.
 SUPPORT = 0.02
@@ -77,7 +78,10 @@ class Lexicon:
                 spared.append((end - n + 1, end))
         if not found:
             return 0.0
-        total = sum(w for a, (b, w) in found.items() if not any(x <= a and b <= y for x, y in spared))
+        # Of the phrases that begin at a match's start or before, the one that reaches farthest tells whether it is spared.
+        spared.sort()
+        begins, upto = [x for x, _ in spared], [-1, *accumulate((y for _, y in spared), max)]
+        total = sum(w for a, (b, w) in found.items() if upto[bisect.bisect_right(begins, a)] < b)
         return total / math.log2(4 + len(folded) / 400)
 
     def score(self, raw: float) -> float:
@@ -126,14 +130,14 @@ def learn(texts: list[str], toxic: list[int], terms: int = TERMS) -> Lexicon:
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
-    """Learned from at most ``rows`` labelled documents of each label, those of least hash, none of them held out (``crc32(doc_id) mod 3 = 1``). Rows with a null label, doc_id or text are passed over."""
+    """Learned from at most ``rows`` labelled documents of each label, those of least hash, by their whole texts; none of them is held out (``crc32(doc_id) mod 3 = 1``). Rows with a null label, doc_id or text are passed over."""
     usable = labels.where("doc_id is not null and toxic in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", "toxic")
     order = F.xxhash64("doc_id")
     picked = [usable.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(rows) for y in (0, 1)]
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked[0].union(picked[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))), "doc_id")
-    # Bounded in bytes too: of a longer text, a stretch from a place that its id gives.
-    start = F.lit(1) + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1).cast("int")
-    got = sorted((r.doc_id, r.text, r.toxic) for r in sample.select("doc_id", F.substring("text", start, F.lit(TRAIN_CHARS)).alias("text"), "toxic").toLocalIterator())
+    # Of a document that has several texts, the least.
+    once = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = sorted((r.doc_id, r.text, r.toxic) for r in once.toLocalIterator())
     return learn([t for _, t, _ in got], [int(y) for _, _, y in got])
 
 
@@ -152,8 +156,8 @@ def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> D
             scores = [lexicon.score(lexicon.raw(fold(t.as_py() or ""), automaton)) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[*names, "score", "predicted"])
 
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    return docs.toDF(*names).mapInArrow(lean(run), f"{kinds}, score double, predicted int").toDF(*docs.columns, "score", "predicted")
+    kinds = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)]).add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    return docs.toDF(*names).mapInArrow(lean(run), kinds).toDF(*docs.columns, "score", "predicted")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

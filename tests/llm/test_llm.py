@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -207,6 +208,36 @@ def test_folding_and_exceptions():
 # 4
 
 
+def test_raw_scores_are_those_of_a_scan():
+    """Against a search for every term and phrase at every place, and long texts full of both."""
+    rng = random.Random(41)
+    for _ in range(200):
+        terms = {" " + "".join(rng.choice("ab ") for _ in range(rng.randint(1, 3))).strip() + rng.choice(("", " ")): rng.choice((0.5, 1.0, 2.0)) for _ in range(4)}
+        spared = {" " + "".join(rng.choice("ab ") for _ in range(rng.randint(3, 6))).strip() + " " for _ in range(3)} - set(terms)
+        text = toxicity.fold("".join(rng.choice("ab ") for _ in range(60)))
+        lexicon = toxicity.Lexicon(terms, spared)
+        at = lambda t: [i for i in range(len(text)) if text.startswith(t, i)]  # noqa: B023, E731
+        longest = {}
+        for t in sorted(terms, key=len):
+            longest |= dict.fromkeys(at(t), t)
+        free = [t for i, t in longest.items() if not any(j <= i and i + len(t) <= j + len(s) for s in spared for j in at(s))]
+        assert lexicon.raw(text, lexicon.automaton()) == pytest.approx(sum(terms[t] for t in free) / math.log2(4 + len(text) / 400))
+    lexicon = toxicity.Lexicon({" bad ": 1.0}, {" not bad "})
+    began = time.process_time()
+    assert lexicon.raw(" not bad" * 8000 + " bad ", lexicon.automaton()) > 0
+    assert time.process_time() - began < 0.5
+
+
+def test_a_lexicon_is_that_of_counts_by_hand():
+    texts = ["vile thing"] * 20 + ["kind thing"] * 30 + ["so vile"]
+    lexicon = toxicity.learn(texts, [1] * 20 + [0] * 31)
+    # In 20 of 20 toxic documents and 1 of 31 clean ones; "thing" is in nearly all of both.
+    assert [t.strip() for t in lexicon.terms] == ["vile"] and list(lexicon.terms.values()) == [pytest.approx(math.log(20.5 / 21) - math.log(1.5 / 32))]
+    score = lambda t: lexicon.score(lexicon.raw(toxicity.fold(t), lexicon.automaton()))
+    assert score("vile thing") > 0.5 > score("kind thing") and toxicity.learn(["a"], [1]).terms == {}
+
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 8)) * np.r_[np.ones(200), np.zeros(200) + 0.01][:, None]
@@ -309,7 +340,6 @@ def test_packing(spark, odd):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rng = random.Random(8)
     texts = [*odd, "a  b", " a", "a ", "a   b", "a \nb\n c", "<|endoftext|> x", "\r\n\r\n y", *(prose(rng, rng.randint(1, 900)) for _ in range(60))]
     rows = packing.pack(table(spark, texts)).collect()
@@ -367,7 +397,6 @@ def test_ids_of_words_are_those_of_the_whole_text():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rng = random.Random(20)
     parts = [" ", " ", " ", "\n", "\t", "a", "Ab", "é", "7", "!", "'s", "\u00a0", "\u2003", "\x1c", "😀", "<|endoftext|>", "x" * 70]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
@@ -684,3 +713,21 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
             assert Counter((r.doc_id, r.piece) for r in got if r.piece == 0) == Counter((r[0], 0) for r in rows)
         assert name == "packing" or out.columns == docs.columns
         assert stage(spark, docs.limit(0), d).count() == 0
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Documents that own every name that a stage adds, uses or drops get their values back."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    names = "_key _entities _told email ip card phone term clean_text leaf n_tokens epoch budget score predicted _score _row set_aside class_id kept domain tokens capacity share place bucket over upto".split() + ["a b.c"]
+    texts = [None, "", *(prose(rng, 40) + f" mail x{i}@y.org +4930123456{i} {rng.choice(WORDS)}" for i in range(12))]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or ""), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([(0, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert {r.doc_id for r in packed.collect()} == set(range(len(texts)))
