@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,25 +11,45 @@ from tessera.llm import minhash, mixing, packing, pii, toxicity
 from tessera.llm.common import sized, table, written
 
 
+#: The columns that stages work on.
+OWN = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def set_aside(stage):
+    """``stage`` with columns besides those of documents in one struct while it runs, so that none of their names can clash with one that it adds, uses or drops; they come back as they were."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in OWN]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        name = "set_aside"
+        held = docs.select(*[c for c in docs.columns if c in OWN], F.struct(*[F.col(f"`{c}`") for c in others]).alias(name))
+        out = stage(spark, held, sf_dir)
+        return out.select(*[F.col(name).getField(c).alias(c) if c in others else F.col(c) for c in docs.columns])
+
+    return run
+
+
+@set_aside
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold, by a lexicon learned from them and ``labels``.
 
     Null and empty texts and those with a null doc_id are scored like any other and have no match, so they stay; rows
     that repeat are kept or dropped alike; without labels nothing is dropped; no documents give none; columns besides
-    those of documents pass through, also ones named ``score`` or ``predicted``.
+    those of documents pass through, whatever their names.
     """
     lexicon = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    others = [c for c in docs.columns if c in ("score", "predicted")]
-    out = toxicity.scored(docs.withColumnsRenamed({c: f"_{c}" for c in others}), lexicon).where("predicted = 0")
-    return out.drop("score", "predicted").withColumnsRenamed({f"_{c}": c for c in others}).select(docs.columns)
+    return toxicity.scored(docs, lexicon).where("predicted = 0").select(docs.columns)
 
 
+@set_aside
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-duplicates, the first as the rows come.
 
     Rows are told apart by number, for a doc_id can be null or repeat: of equal rows one stays, and of two texts with
     one doc_id each is judged by itself. Null, empty and wordless texts are like no other and all stay; no documents
-    give none; columns besides those of documents pass through.
+    give none; columns besides those of documents pass through, whatever their names.
     """
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))
@@ -35,11 +57,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(sized(dropped), "_row", "left_anti").select(docs.columns)
 
 
+@set_aside
 def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and terms that disclose it replaced in the text; ``n_chars`` follows.
 
     Null texts stay null, with a null n_chars; rows that repeat stay and are treated alike; no documents give none;
-    columns besides those of documents pass through unless they have a name that ``pii.sanitised`` adds.
+    columns besides those of documents pass through, whatever their names.
     """
     clean = pii.sanitised(docs).withColumn("text", F.col("clean_text"))
     if "n_chars" in docs.columns:
@@ -47,11 +70,12 @@ def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return clean.select(docs.columns)
 
 
+@set_aside
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of each source up to its budget, again for each epoch that they are chosen in.
 
     Null texts are empty, null sources and languages a leaf of their own, as ``mixing.mixed`` defines; rows that repeat
-    are each a document; no documents give none.
+    are each a document; no documents give none; columns besides those of documents pass through, whatever their names.
     """
     return mixing.mixed(docs).select(docs.columns)
 
