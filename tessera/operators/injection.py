@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.lineage import written
@@ -188,9 +188,12 @@ def applied(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return both.repartition("doc_id").sortWithinPartitions(*columns).mapInArrow(run, APPLIED.format(id=kind))
 
 
-def injected(docs: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents after all edits; labels of the edits that were made): ``applied``, written once. Labels have the plan's columns, the span of the edit, whether later edits made that span ``stale``, and ``rationale``."""
-    made = written(applied(docs, plan))
+def injected(docs: DataFrame, plan: DataFrame, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents after all edits; labels of the edits that were made): ``applied``, written once. Labels have the plan's columns, the span of the edit and whether later edits made that span ``stale``. The numbers of edits that were made and that failed are metrics of that pass, in ``seen``."""
+    made = applied(docs, plan)
+    if seen is not None:
+        made = made.observe(seen, F.count_if("ok").alias("made"), F.count_if(~F.col("ok")).alias("failed"))
+    made = written(made)
     texts = made.where("place is null").select("doc_id", "content")
     spans = made.where("ok").select("doc_id", "place", "char_start", "char_end", "last_start", "last_end")
     labels = plan.join(spans, ["doc_id", "place"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import audit as A
+from tessera.operators.ranges import first_range
 from tessera.plans import tables as T
 from tessera.plans.registry import query
 from tessera.sources import corpus as C
@@ -23,9 +24,9 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("date_ranges", f"""select o_orderkey, coalesce(min(m), -1)::int as module from orders left join (values {', '.join(f"({m}, date '{a}', date '{b}')" for m, a, b in MODULES)}) t(m, a, b) on o_orderdate::date between a and b group by 1""")
 def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The module whose range holds an order's day."""
-    modules = spark.createDataFrame(MODULES, "module int, a string, b string").select("module", F.to_date("a").alias("a"), F.to_date("b").alias("b"))
-    days = T.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return days.join(F.broadcast(modules), F.col("day").between(F.col("a"), F.col("b")), "left").groupBy("o_orderkey").agg(F.coalesce(F.min("module"), F.lit(-1)).alias("module"))
+    modules = spark.createDataFrame(MODULES, "module int, a string, b string").select("module", F.to_date("a").alias("start"), F.to_date("b").alias("end"))
+    found = first_range(T.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), modules, "o_orderdate", "module")
+    return found.select("o_orderkey", F.coalesce("module", F.lit(-1)).alias("module"))
 
 
 @query("label_validation", f"select label_idx, case when scope in ('intra_doc', 'inter_doc') and detectability in ('single_hop', 'multi_hop', 'entity_resolution_dependent') then '' else 'x' end || case when label_idx % 4 = 0 then 'difficulty' else '' end || case when label_idx % 5 = 0 then 'char_start' else '' end as errors from {T.GOLD_SQL}")

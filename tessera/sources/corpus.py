@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.lineage import numbered
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from tessera.functions.lineage import numbered
+from tessera.operators.ranges import first_range
+
 DOCUMENT = T.StructType([T.StructField(n, T.StringType()) for n in ("document_id", "source", "document_type", "source_case_id", "scope_classification", "content")])
 LABEL = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("scope", "mechanism", "detectability", "system_affinity", "difficulty")]
@@ -81,9 +83,7 @@ def modules_of(listing: DataFrame, modules: DataFrame) -> DataFrame:
     pattern = r"(?i)trans?cript\s*[-–]?\s*(\d{1,2})\s+([A-Za-z]+)\s+(20(?:20|21|22))(?:_\d+)?\.pdf$"
     day = F.try_to_date(F.concat_ws(" ", *[F.regexp_extract("filename", pattern, i) for i in (1, 2, 3)]), "d MMMM yyyy")
     once = listing.withColumn("day", day).where("day is not null").dropDuplicates(["url"])
-    # Modules are a handful of date ranges.
-    hit = once.join(F.broadcast(modules), F.col("day").between(F.col("start"), F.col("end")), "left")
-    return hit.groupBy("url", "filename", "day").agg(F.min("module").alias("module"))
+    return first_range(once, modules, "day", "module").select("url", "filename", "day", "module")
 
 
 def links_in(pages: DataFrame) -> DataFrame:
@@ -101,12 +101,6 @@ def write_by_scope(labels: DataFrame, path: str) -> None:
     labels.write.partitionBy("scope").mode("overwrite").json(path)
 
 
-def write_version(tables: dict[str, DataFrame], path: str, version: str) -> None:
-    """Tables of a dataset under version=...; a version is written once."""
-    for name, df in tables.items():
-        df.write.mode("error").parquet(f"{path}/{name}/version={version}")
-
-
 def upserted(manifest: DataFrame, new: DataFrame, key: str = "source_id") -> DataFrame:
     """The manifest with the new rows' sources replaced and the others kept."""
     return manifest.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tessera.functions.lineage import numbered
 from tessera.sources.corpus import CLAIM, DOCUMENT, DOMAINS, LABEL
+from tessera.sources.versions import committed
 
 LINK = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("xref_id", "reference_id", "id", "source_claim", "target_claim", "from_claim", "to_claim", "relationship_type", "relationship", "rationale", "description")]
@@ -191,15 +192,12 @@ def case_types(docs: DataFrame) -> DataFrame:
 
 
 def write_package(tables: dict[str, DataFrame], path: str, version: str, base: str | None = None, params: dict | None = None) -> None:
-    """A version of a dataset: its tables, its parameters (rates of 0 where none are given) and its manifest as JSON. Tables are docs, labels and distractors, and any others; a version is written once."""
+    """A version of a dataset: its tables, its ``generation_params`` (rates of 0 where none are given) and its ``dataset_manifest``, which readers see once all are written. Tables are docs, labels and distractors, and any others; a version is written once."""
     spark = tables["docs"].sparkSession
-    top = f"{path.rstrip('/')}/version={version}"
     told = {"contradiction_rate_intra_doc": 0.0, "contradiction_rate_inter_doc": 0.0, "distractor_ratio": 0.0} | (params or {}) | {"version_id": version, "base_version": base}
-    for name, df in tables.items():
-        df.write.mode("error").parquet(f"{top}/{name}")
-    spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("error").text(f"{top}/generation_params")
     found = manifest(tables["docs"], tables["labels"], tables["distractors"]).withColumns({"version": F.lit(version), "base_version": F.lit(base).cast("string")})
-    found.coalesce(1).write.mode("error").json(f"{top}/dataset_manifest")
+    more = {"generation_params": spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1), "dataset_manifest": found.coalesce(1)}
+    committed(tables | more, path, version, base, {"generation_params": "text", "dataset_manifest": "json"})
 
 
 def backed_up(df: DataFrame, path: str) -> None:
