@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.lineage import written
+from tessera.operators.audit import parsed
 from tessera.operators.sampling import uniform
 
 # The types of facts that a mechanism can change.
@@ -23,6 +24,8 @@ FACT_TYPES = {
 }
 #: Why an edit fails.
 NOT_FOUND, NO_DOCUMENT = "original_text not found in document", "missing document"
+#: Why an answer gives no edit or distractor, where the call itself had no error.
+NO_EDIT, NO_DESCRIPTION = "no edit in the answer", "no description in the answer"
 #: Pieces of a text that are held apart before they are joined again.
 PIECES = 256
 APPLIED = "doc_id {id}, place long, ok boolean, char_start long, char_end long, last_start long, last_end long, content string"
@@ -43,6 +46,24 @@ def chosen_fact(facts: DataFrame, key: list[str], order: str, seed: int) -> Data
     return first.select(*key, "_x._fact.*")
 
 
+def planned(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edits (doc_id, place, old, new, line), answers without one (doc_id, place, reason)) of ``answers`` (doc_id, place, scope, answer, error): JSON, in a fence or not, with ``original_text`` and ``modified_text`` within a document, and with ``modified_text`` and ``insertion_paragraph`` (0 if missing) across documents."""
+    rows = parsed(answers, "original_text string, modified_text string, insertion_paragraph long")
+    across = F.col("scope") == "inter_doc"
+    sound = F.col("items.modified_text").isNotNull() & (across | F.col("items.original_text").isNotNull())
+    rows = rows.withColumn("_sound", F.coalesce(sound, F.lit(False)))
+    line = F.when(across, F.coalesce("items.insertion_paragraph", F.lit(0)))
+    edits = rows.where("_sound").select("doc_id", "place", F.when(~across, F.col("items.original_text")).alias("old"), F.col("items.modified_text").alias("new"), line.alias("line"))
+    return edits, rows.where("not _sound").select("doc_id", "place", F.coalesce("error", F.lit(NO_EDIT)).alias("reason"))
+
+
+def distractors(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels (case_id, place, scope, divergence_type, document_references, description), answers without one (case_id, place, reason)) of ``answers`` (case_id, place, scope, divergence, refs, answer, error): JSON with a ``description``; the type is the one that was asked for. Documents stay as they are."""
+    rows = parsed(answers, "description string")
+    labels = rows.where("items.description is not null").select("case_id", "place", "scope", F.col("divergence").alias("divergence_type"), F.col("refs").alias("document_references"), "items.description")
+    return labels, rows.where("items.description is null").select("case_id", "place", F.coalesce("error", F.lit(NO_DESCRIPTION)).alias("reason"))
+
+
 class Text:
     """A text in pieces, so that an edit copies the piece that it falls in alone."""
 

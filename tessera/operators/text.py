@@ -92,10 +92,10 @@ def replaced_first(docs: DataFrame) -> DataFrame:
 
 
 def inserted_after_line(docs: DataFrame) -> DataFrame:
-    """``docs`` (content, line, new) with ``new``, a space on each side, put after line number ``line`` (from 0, clamped); the span has the spaces."""
+    """``docs`` (content, line, new) with ``new``, a space on each side, put behind line number ``line`` (from 0, clamped) and its newline; the span has the spaces."""
     lines = F.split("content", "\n", -1)
     n = F.least(F.greatest(F.col("line"), F.lit(0)), F.size(lines) - 1)
-    at = F.length(F.array_join(F.slice(lines, 1, n + 1), "\n"))
+    at = F.least(F.length(F.array_join(F.slice(lines, 1, n + 1), "\n")) + 1, F.length("content"))
     pad = F.concat(F.lit(" "), "new", F.lit(" "))
     out = docs.withColumn("char_start", at).withColumn("char_end", at + F.length(pad))
     return out.withColumn("edited", F.concat(F.expr("substring(content, 1, char_start)"), pad, F.expr("substring(content, char_start + 1)")))

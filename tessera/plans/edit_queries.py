@@ -64,7 +64,7 @@ def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("insert_lines", """select doc_id as doc_ord, s::int as char_start, (s + length(pad))::int as char_end, md5(substr(text, 1, s) || pad || substr(text, s + 1)) as digest
-from (select *, ' ' || '<' || doc_id || '>' || ' ' as pad, length(array_to_string(string_split(text, chr(10))[1 : least(doc_id % 5, len(string_split(text, chr(10))) - 1) + 1], chr(10))) as s from documents)""")
+from (select *, ' ' || '<' || doc_id || '>' || ' ' as pad, least(length(array_to_string(string_split(text, chr(10))[1 : least(doc_id % 5, len(string_split(text, chr(10))) - 1) + 1], chr(10))) + 1, length(text)) as s from documents)""")
 def insert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.inserted_after_line(edits(spark, sf_dir).withColumn("line", (F.col("doc_ord") % 5).cast("int"))).select("doc_ord", "char_start", "char_end", F.md5("edited").alias("digest"))
 

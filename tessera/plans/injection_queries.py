@@ -53,3 +53,28 @@ def injected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def injection_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, edits = plan(spark, sf_dir)
     return I.failures(I.applied(docs, edits), docs)
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about documents as a model would write them: some in fences, some broken, some errors."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("case_id"), F.substring(F.coalesce("text", F.lit("")), 1, 20).alias("old"))
+    k = F.col("doc_id")
+    body = F.to_json(F.struct(F.when(k % 4 != 1, F.col("old")).alias("original_text"), F.when(k % 7 != 3, F.concat(F.lit("new "), "old")).alias("modified_text"), F.when(k % 3 == 0, k % 5).alias("insertion_paragraph"), F.when(k % 6 != 2, F.col("old")).alias("description")))
+    text = F.when(k % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 11 == 5, "none").otherwise(body)
+    return d.select("doc_id", "case_id", k.alias("place"), F.when(k % 3 == 0, "inter_doc").otherwise("intra_doc").alias("scope"), F.lit("expert_opinion").alias("divergence"), F.array(k, k + 1).alias("refs"), F.when(k % 13 != 4, text).alias("answer"), F.when(k % 13 == 4, "no answer").alias("error"))
+
+
+ANSWERS = "a as (select doc_id, source as case_id, left(coalesce(text, ''), 20) as old, doc_id % 3 = 0 as inter, doc_id % 13 = 4 as error, doc_id % 2 = 1 and doc_id % 11 = 5 as broken from documents)"
+
+
+@query("planned_edits", f"""with {ANSWERS}, x as (select *, not error and not broken and doc_id % 7 <> 3 and (inter or doc_id % 4 <> 1) as sound from a)
+select doc_id, case when sound and not inter then old end as old, case when sound then 'new ' || old end as new, case when sound and inter then doc_id % 5 end as line, case when error then 'no answer' when not sound then 'no edit in the answer' end as reason from x""")
+def planned_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edits, lost = I.planned(answers(spark, sf_dir))
+    return edits.drop("place").unionByName(lost.drop("place"), allowMissingColumns=True)
+
+
+@query("distractor_labels", f"with {ANSWERS} select case_id, doc_id as place, case when inter then 'inter_doc' else 'intra_doc' end as scope, doc_id || ',' || (doc_id + 1) as refs, old as description from a where not error and not broken and doc_id % 6 <> 2")
+def distractor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = I.distractors(answers(spark, sf_dir))[0]
+    return labels.select("case_id", "place", "scope", F.array_join("document_references", ",").alias("refs"), "description")

@@ -21,39 +21,48 @@ class Tables(HTMLParser):
     def __init__(self):
         super().__init__()
         self.tables: list[list[list[list]]] = []
+        self.open: list[list[list[list]]] = []  # those not ended yet, one in another
         self.cell: list | None = None
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        elif tag == "td" and self.tables and self.tables[-1]:
+            self.open.append(self.tables[-1])
+        elif tag == "tr" and self.open:
+            self.open[-1].append([])
+        elif tag == "td" and self.open and self.open[-1]:
             self.cell = ["", None]
-            self.tables[-1][-1].append(self.cell)
+            self.open[-1][-1].append(self.cell)
         elif tag == "a" and self.cell is not None and self.cell[1] is None:
             self.cell[1] = dict(attrs).get("href") or ""
 
     def handle_endtag(self, tag):
         if tag in ("td", "th"):
             self.cell = None
+        elif tag == "table" and self.open:
+            self.open.pop()
 
     def handle_data(self, data):
         if self.cell is not None:
             self.cell[0] += data.strip()
 
 
+def number(text: str) -> int | None:
+    """A number in decimal digits that a column of ints can hold."""
+    return int(text) if text.isdecimal() and len(text) < 20 and int(text) < 1 << 31 else None
+
+
 def largest_table(html: str | None) -> list[tuple]:
-    """(item_number, title, page_count, file_type, href) of the documents in the table with most rows, the first row being its head. A document's row has a number, a title, a number of pages (else 0) and, in its sixth cell, a link; the link names the file type."""
+    """(item_number, title, page_count, file_type, href) of the documents in the table with most rows, the first row being its head. A document's row has a number that fits an int, a title, a number of pages (else 0) and, in its sixth cell, a link; the link names the file type."""
     parser = Tables()
     parser.feed(html or "")
     out = []
     for row in max(parser.tables, key=len, default=[])[1:]:
-        if len(row) < CELLS or not row[0][0].isdigit() or not row[5][1]:
+        if len(row) < CELLS or number(row[0][0]) is None or not row[5][1]:
             continue
-        pages, href = row[2][0], row[5][1]
+        href = row[5][1]
         kind = href.split("FileExtension=")[1].split("&")[0].lower() if "FileExtension=" in href else FILE_TYPE
-        out.append((int(row[0][0]), row[1][0], int(pages) if pages.isdigit() else 0, kind, href))
+        out.append((number(row[0][0]), row[1][0], number(row[2][0]) or 0, kind, href))
     return out
 
 

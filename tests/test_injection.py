@@ -88,3 +88,22 @@ def test_facts_that_suit(spark):
     one = injection.chosen_fact(got, ["k"], "fact", 3)
     assert sorted(r.k for r in one.collect()) == [1, 2, 3, 4]
     assert one.collect() == injection.chosen_fact(got.repartition(5), ["k"], "fact", 3).orderBy("k").collect() or sorted(one.collect()) == sorted(injection.chosen_fact(got.repartition(5), ["k"], "fact", 3).collect())
+
+
+def test_answers(spark):
+    rows = [
+        (1, 0, "intra_doc", '{"original_text": "a", "modified_text": "b"}', None),
+        (1, 1, "inter_doc", '```json\n{"modified_text": "c", "insertion_paragraph": 2}\n```', None),
+        (1, 2, "inter_doc", '{"modified_text": "c"}', None),
+        (2, 3, "intra_doc", '{"modified_text": "c"}', None),
+        (2, 4, "intra_doc", "sorry", None),
+        (2, 5, "intra_doc", None, "timeout"),
+        (2, 6, "intra_doc", None, None),
+    ]
+    edits, lost = injection.planned(spark.createDataFrame(rows, "doc_id int, place long, scope string, answer string, error string"))
+    assert sorted(map(tuple, edits.collect()), key=lambda r: r[1]) == [(1, 0, "a", "b", None), (1, 1, None, "c", 2), (1, 2, None, "c", 0)]
+    assert {r.place: r.reason for r in lost.collect()} == {3: injection.NO_EDIT, 4: injection.NO_EDIT, 5: "timeout", 6: injection.NO_EDIT}
+    asked = [("c", i, "intra_doc", "expert_opinion", ["d"], a, e) for i, (a, e) in enumerate((('{"description": "x", "divergence_type": "other"}', None), ("{}", None), (None, "busy")))]
+    labels, lost = injection.distractors(spark.createDataFrame(asked, "case_id string, place int, scope string, divergence string, refs array<string>, answer string, error string"))
+    assert labels.collect() == [("c", 0, "intra_doc", "expert_opinion", ["d"], "x")]
+    assert {r.place: r.reason for r in lost.collect()} == {1: injection.NO_DESCRIPTION, 2: "busy"}

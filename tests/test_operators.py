@@ -151,6 +151,10 @@ def test_largest_table():
     page += cells(1, "First <b> one </b>", "12", "", "PDF", '<a href="/get?id=1&amp;FileExtension=JPG&amp;x=1">View</a><a href="/no">x</a>') + cells("x", "t", "1", "", "", '<a href="/a">v</a>')
     page += cells(3, "Third", "n/a", "", "TXT", '<p><a href="/f.txt">v</a></p>') + cells(4, "no link", "1", "", "", "none") + cells(5, "few") + cells(6, "empty link", "1", "", "", "<a>v</a>") + "</table>"
     assert html.largest_table(page) == [(1, "Firstone", 12, "jpg", "/get?id=1&FileExtension=JPG&x=1"), (3, "Third", 0, "pdf", "/f.txt")]
+    cells = lambda *x: "<tr>" + "".join(f"<td>{c}</td>" for c in x) + "</tr>"
+    odd = "<table><tr><td>head</td></tr>" + cells("²", "t", "1", "", "", "<a href='/a'>x</a>") + cells("9" * 30, "t", "1", "", "", "<a href='/b'>x</a>") + cells("4", "t", "9999999999", "", "", "<a href='/c'>x</a>")
+    odd += "<tr><td><table>" + cells("7", "in", "1", "", "", "<a href='/d'>x</a>") + "</table></td></tr>" + cells("5", "after", "٣", "", "", "<a href='/e'>x</a>") + "</table>"
+    assert html.largest_table(odd) == [(4, "t", 0, "pdf", "/c"), (5, "after", 3, "pdf", "/e")]
     assert html.largest_table(None) == [] and html.largest_table("<table></table><p>") == []
 
 
