@@ -39,21 +39,39 @@ def segments(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     return out.select("case_id", "doc_ord", "pos", "start", "end", count(F.col("seg")).alias("words"))
 
 
+def chunk_rows(done: list, types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = [pa.array([h[0][i] for h in done], t) for i, t in enumerate(types)] + [pa.array([h[i] for h in done], t) for i, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["case_id", "doc_ord", "chunk_index", "char_start", "char_end"])
+
+
 def chunks(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """(case_id, doc_ord, chunk_index, char_start, char_end, word_count): segments filled greedily up to ``max_words`` words; a text of no more is one chunk, an empty one too.
 
-    The fill starts anew after each chunk, so it is a fold over a text's segments, held as one array.
+    The fill starts anew after each chunk. Segments are sorted by text and position within partitions and filled as they
+    come, so a task holds one chunk's bounds, however long the text.
     """
     total = F.regexp_count("content", F.lit(r"(?U)\S+"))
     small = docs.where(total <= max_words).select("case_id", "doc_ord", F.lit(0).alias("chunk_index"), F.lit(0).cast("bigint").alias("char_start"), F.length("content").cast("bigint").alias("char_end"))
     segs = segments(docs.where(total > max_words), max_words)
-    held = segs.groupBy("case_id", "doc_ord").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "words"))).alias("s"))
-    fold = F.expr(f"""aggregate(s, struct(cast(array() as array<struct<a: bigint, b: bigint>>) as done, 0L as a, 0L as b, 0 as n),
-        (acc, x) -> if(acc.n > 0 and acc.n + x.words > {max_words},
-            struct(concat(acc.done, array(struct(acc.a as a, acc.b as b))) as done, x.start as a, x.end as b, x.words as n),
-            struct(acc.done as done, acc.a as a, x.end as b, acc.n + x.words as n)),
-        acc -> concat(acc.done, array(struct(acc.a as a, acc.b as b))))""")
-    large = held.select("case_id", "doc_ord", F.posexplode(fold).alias("chunk_index", "c")).select("case_id", "doc_ord", "chunk_index", F.col("c.a").alias("char_start"), F.col("c.b").alias("char_end"))
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("case_id", "doc_ord")}
+
+    def run(batches):
+        held = None  # key, number, start, end and words of the chunk that is being filled
+        for batch in batches:
+            types, done = [c.type for c in batch.columns[:2]], []
+            for case, doc, start, end, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0] == (case, doc) and not (held[4] > 0 and held[4] + words > max_words):
+                    held[3:] = end, held[4] + words
+                    continue
+                if held:
+                    done.append(held)
+                held = [(case, doc), held[1] + 1 if held and held[0] == (case, doc) else 0, start, end, words]
+            yield chunk_rows(done, types)
+        if held:
+            yield chunk_rows([held], types)
+
+    sorted_ = segs.repartition("case_id", "doc_ord").sortWithinPartitions("case_id", "doc_ord", "pos").select("case_id", "doc_ord", "start", "end", "words")
+    large = sorted_.mapInArrow(run, f"case_id {kinds['case_id']}, doc_ord {kinds['doc_ord']}, chunk_index int, char_start bigint, char_end bigint")
     out = small.unionByName(large).join(docs.select("case_id", "doc_ord", "content"), ["case_id", "doc_ord"])
     cut = F.substring("content", F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int"))
     return out.select("case_id", "doc_ord", "chunk_index", "char_start", "char_end", F.regexp_count(cut, F.lit(r"(?U)\S+")).alias("word_count"), cut.alias("text"))
