@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.lineage import numbered, written
+from tessera.operators.pairs import crossed, measured
 
 
 def document_nodes(claims: DataFrame) -> DataFrame:
@@ -16,10 +17,10 @@ def document_nodes(claims: DataFrame) -> DataFrame:
 
 
 def co_members(rows: DataFrame, group: list[str], member: str) -> DataFrame:
-    """(a, b, weight) with a < b: unordered pairs of members and the number of groups that they share."""
-    rows = rows.select(*group, member).distinct()
+    """(a, b, weight) with a < b: unordered pairs of members and the number of groups that they share. A large group is many tasks' work."""
+    rows = measured(rows.select(*group, member).distinct(), group)
     a, b = rows.withColumnRenamed(member, "a"), rows.withColumnRenamed(member, "b")
-    return a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    return crossed(a, b, group, "a", "n").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
 def first_of(*edges: DataFrame) -> DataFrame:
@@ -47,7 +48,8 @@ def entity_nodes(claims: DataFrame, least: int = 3) -> DataFrame:
 def link_edges(links: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b, link_id, relation): pairs of distinct members (claim_id, member) of a link; the first link of a pair wins."""
     rows = links.select("link_id", "relation", F.explode("claim_ids").alias("claim_id")).join(members, "claim_id").select("link_id", "relation", "member").distinct()
-    pairs = rows.withColumnRenamed("member", "a").join(rows.select("link_id", F.col("member").alias("b")), "link_id").where("a < b")
+    rows = measured(rows, ["link_id"])
+    pairs = crossed(rows.withColumnRenamed("member", "a"), rows.select("link_id", F.col("member").alias("b"), "n"), ["link_id"], "a", "n").where("a < b")
     return pairs.groupBy("a", "b").agg(F.min(F.struct("link_id", "relation")).alias("x")).select("a", "b", "x.*")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import sized, written
+
 # The words that signal a contradiction.
 SIGNALS = ["not", "no", "never", "none", "neither", "nor", "without", "denied", "failed", "incorrect", "false", "contrary", "opposite", "however", "but", "although", "despite", "unlike"]
 # Fixed value: key terms are phrases of capitalised words, acronyms, and numbers with a unit.
@@ -48,6 +50,12 @@ def crossed(a: DataFrame, b: DataFrame, key: list[str], doc: str, size: str) ->
     return one.join(two, [*key, "_part"]).drop("_part")
 
 
+def measured(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with ``n``, the size of their group where that is over BLOCK, else 1: only large groups are cut, and there are few of them."""
+    large = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    return rows.join(sized(written(large)), key, "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+
+
 def keyword_pairs(docs: DataFrame) -> DataFrame:
     """(case_id, doc_a, doc_b, score): the idf of shared terms, raised by half for each signal word that one document has alone.
 
@@ -99,7 +107,9 @@ def set_pairs(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """(key, a, b, similarity) of the pairs of ``left`` (key, a, refs) and ``right`` (key, b, refs) that share a member: Jaccard similarity of the lists as sets, by an equi-join on members."""
     one = left.select(*key, "a", F.array_distinct("refs").alias("refs")).withColumn("size_a", F.size("refs")).withColumn("ref", F.explode("refs")).drop("refs")
     two = right.select(*key, "b", F.array_distinct("refs").alias("refs")).withColumn("size_b", F.size("refs")).withColumn("ref", F.explode("refs")).drop("refs")
-    both = one.join(two, [*key, "ref"]).groupBy(*key, "a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
+    one, key_ = measured(one, [*key, "ref"]), [*key, "ref"]
+    two = two.join(one.where("n > 1").select(*key_, "n").distinct(), key_, "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+    both = crossed(one, two, key_, "a", "n").groupBy(*key, "a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
     return both.select(*key, "a", "b", (F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("similarity"))
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import pairs, sampling, toppairs
+from tessera.operators import graph, pairs, sampling, toppairs
 
 DOCS = "case_id string, doc_ord long, content string"
 
@@ -71,3 +71,33 @@ def test_a_permutation_of_any_size(spark):
     sizes = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 5, 9, 10, 17, 100, 101, 997)], "n long").select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("x"))
     out = sizes.select("n", sampling.permuted(F.col("x"), F.col("n"), F.lit("k")).alias("y")).groupBy("n").agg(F.sort_array(F.collect_list("y")).alias("y"))
     assert all(r.y == list(range(r.n)) for r in out.collect())
+
+
+def test_hot_groups_are_many_tasks_work(spark, monkeypatch):
+    """A group of a third of all rows: the same pairs, made in many parts of bounded size."""
+    monkeypatch.setattr(pairs, "BLOCK", 16)
+    rows = [("hot", i) for i in range(120)] + [(f"g{i % 80}", i) for i in range(240)] + [(None, 1), (None, 2), ("hot", 5)]
+    df = spark.createDataFrame(rows, "k string, m long")
+    want = {}
+    groups = {}
+    for k, m in set(rows):
+        if k is not None:
+            groups.setdefault(k, set()).add(m)
+    for g in groups.values():
+        for a in g:
+            for b in g:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.weight for r in graph.co_members(df, ["k"], "m").collect()} == want
+    one = pairs.measured(df.distinct(), ["k"])
+    met = pairs.crossed(one.withColumnRenamed("m", "a"), one.withColumnRenamed("m", "b"), ["k"], "a", "n")
+    assert met.where("k = 'hot'").count() == 120 * 120
+    parts = one.where("k = 'hot'").select(F.pmod(F.xxhash64("m"), F.ceil(F.col("n") / pairs.BLOCK)).alias("p")).groupBy("p").count()
+    assert parts.count() == 8 and parts.agg(F.max("count")).first()[0] <= 2.5 * pairs.BLOCK
+    links = spark.createDataFrame([(1, "r", list(range(100))), (2, "q", [3, 2, 2])], "link_id int, relation string, claim_ids array<long>")
+    members = spark.range(100).select(F.col("id").alias("claim_id"), F.col("id").alias("member"))
+    edges = {(r.a, r.b): (r.link_id, r.relation) for r in graph.link_edges(links, members).collect()}
+    assert edges == {(a, b): (1, "r") for a in range(100) for b in range(a + 1, 100)}
+    left = spark.createDataFrame([(1, i, ["x", f"y{i % 3}"]) for i in range(60)], "k int, a int, refs array<string>")
+    right = spark.createDataFrame([(1, i, ["x", "z"]) for i in range(50)], "k int, b int, refs array<string>")
+    assert sorted((r.a, r.b, round(r.similarity, 6)) for r in pairs.set_pairs(left, right, ["k"]).collect()) == [(a, b, round(1 / 3, 6)) for a in range(60) for b in range(50)]
