@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
@@ -13,15 +11,6 @@ from tessera.functions.lineage import written
 from tessera.operators.audit import parsed
 from tessera.operators.sampling import uniform
 
-# The types of facts that a mechanism can change.
-FACT_TYPES = {
-    "numeric_drift": ["numeric"],
-    "entity_swap": ["entity"],
-    "causal_inversion": ["causal"],
-    "temporal_contradiction": ["temporal"],
-    "omission_based_implicit": ["qualification"],
-    "temporal_revision_conflict": ["revision", "temporal"],
-}
 #: Why an edit fails.
 NOT_FOUND, NO_DOCUMENT = "original_text not found in document", "missing document"
 #: Why an answer gives no edit or distractor, where the call itself had no error.
@@ -31,14 +20,6 @@ PIECES = 256
 APPLIED = "doc_id {id}, place long, ok boolean, char_start long, char_end long, last_start long, last_end long, content string"
 
 
-def suitable_facts(facts: DataFrame, key: list[str]) -> DataFrame:
-    """``facts`` (key, mechanism, type, ...) that suit the mechanism; all of a key where none does, or the mechanism takes any. A fact without a type suits none."""
-    suits = reduce(lambda c, m: c.when(F.col("mechanism") == m, F.coalesce(F.col("type").isin(FACT_TYPES[m]), F.lit(False))), FACT_TYPES, F.when(F.col("mechanism").isNull(), True)).otherwise(True)
-    some = facts.withColumn("_suits", suits)
-    any_ = some.groupBy(*key).agg(F.max("_suits").alias("_any"))
-    return some.join(any_, key).where("_suits or not _any").drop("_suits", "_any")
-
-
 def chosen_fact(facts: DataFrame, key: list[str], order: str, seed: int) -> DataFrame:
     """One of each key's facts, each with the same chance: that of least hash of seed, key and ``order``."""
     place = uniform(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in [*key, order]]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "pair_keyword_topk"
-MODULES = ["pair_queries", "text_queries", "edit_queries", "graph_queries", "stat_queries", "source_queries", "report_queries", "dataset_queries", "injection_queries", "commit_queries", "anonymise_queries", "landed_queries"]
+MODULES = ["pair_queries", "text_queries", "edit_queries", "graph_queries", "stat_queries", "source_queries", "report_queries", "dataset_queries", "injection_queries", "commit_queries", "anonymise_queries", "landed_queries", "docket_queries"]
 
 
 def query(name: str, sql: str | None = None):
