@@ -56,7 +56,7 @@ def last_by_id(docs: DataFrame) -> DataFrame:
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(file, content): whole text files."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
 
 
 def claims(spark: SparkSession, path: str) -> DataFrame:

@@ -43,7 +43,7 @@ def files(spark: SparkSession, *globs: str) -> DataFrame:
 def whole(spark: SparkSession, glob: str) -> DataFrame:
     """(path, content) of whole text files; none where the glob has no match."""
     try:
-        return spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+        return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
