@@ -101,3 +101,15 @@ def test_hot_groups_are_many_tasks_work(spark, monkeypatch):
     left = spark.createDataFrame([(1, i, ["x", f"y{i % 3}"]) for i in range(60)], "k int, a int, refs array<string>")
     right = spark.createDataFrame([(1, i, ["x", "z"]) for i in range(50)], "k int, b int, refs array<string>")
     assert sorted((r.a, r.b, round(r.similarity, 6)) for r in pairs.set_pairs(left, right, ["k"]).collect()) == [(a, b, round(1 / 3, 6)) for a in range(60) for b in range(50)]
+
+
+def test_sampled_pairs_are_permuted_once_by_many_tasks(spark, monkeypatch):
+    """No filter for nulls makes the permutation again, and few small stretches don't end up in one task."""
+    monkeypatch.setattr(sampling, "STRETCH", 16)
+    docs = spark.range(200).select(F.lit("c").alias("case_id"), F.col("id").alias("doc_ord"))
+    pairs = sampling.sampled_pairs(docs, 1.0, 7)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "md5(" in line for line in plan.splitlines())
+    assert plan.count("md5(") <= 3 * sampling.ROUNDS
+    assert pairs.rdd.getNumPartitions() > 10
+    assert pairs.distinct().count() == 199 * 100
