@@ -66,7 +66,8 @@ def taxonomy(docs: DataFrame) -> DataFrame:
 
 
 def quality_gates(summaries: DataFrame, types: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(gate, actual, threshold, passed): cases with documents enough, cases below the clean rate, types found, shared entities."""
+    """(gate, actual, threshold, passed): cases with documents enough, cases below the clean rate, types found, shared entities. Summaries feed two gates and are made once."""
+    summaries = written(summaries)
     g = GATES
     row = lambda df, name, actual, threshold, passed: df.select(F.lit(name).alias("gate"), actual.cast("double").alias("actual"), F.lit(float(threshold)).alias("threshold"), passed(actual.cast("double")).alias("passed"))
     a = summaries.agg(F.count_if(F.col("total") >= g["min_docs_per_case"]).alias("x"))
@@ -112,16 +113,20 @@ def normal_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "^the ", ""), "^a ", ""), r"\s+", " ")
 
 
-def entity_mentions(docs: DataFrame, organisations: dict[str, list[str]], equipment: list[str]) -> DataFrame:
-    """(case_id, doc_ord, name, entity_type) of the documents given: an organisation once a document if any of its forms is in it, each equipment pattern's first match, the first regulations (ten at most) and all directives."""
-    t = F.col("content")
+def mentioned(t: Column, organisations: dict[str, list[str]], equipment: list[str]) -> Column:
+    """The entities (name, entity_type) of a text: an organisation once if any of its forms is in it, each equipment pattern's first match, the first regulations (ten at most) and all directives."""
     lower = F.lower(t)
     found = lambda forms: F.exists(F.array(*[F.lit(f.lower()) for f in forms]), lambda f: F.contains(lower, f))
     orgs = F.array_compact(F.array(*[F.when(found([name, *forms]), F.lit(name)) for name, forms in organisations.items()])) if organisations else F.array().cast("array<string>")
     gear = F.filter(F.array(*[F.trim(F.regexp_extract(t, p, 0)) for p in equipment]), lambda x: x != "") if equipment else F.array().cast("array<string>")
     rules = F.concat(F.slice(F.regexp_extract_all(t, F.lit(f"(?i){REGULATION}"), F.lit(0)), 1, REGULATIONS_A_DOCUMENT), F.regexp_extract_all(t, F.lit(f"(?i){DIRECTIVE}"), F.lit(0)))
     typed = lambda names, kind: F.transform(names, lambda x: F.struct(F.trim(x).alias("name"), F.lit(kind).alias("entity_type")))
-    return docs.select("case_id", "doc_ord", F.inline(F.concat(typed(orgs, "organization"), typed(gear, "equipment"), typed(rules, "regulation"))))
+    return F.concat(typed(orgs, "organization"), typed(gear, "equipment"), typed(rules, "regulation"))
+
+
+def entity_mentions(docs: DataFrame, organisations: dict[str, list[str]], equipment: list[str]) -> DataFrame:
+    """(case_id, doc_ord, name, entity_type) of the documents given, as ``mentioned`` finds them."""
+    return docs.select("case_id", "doc_ord", F.inline(mentioned(F.col("content"), organisations, equipment)))
 
 
 def entity_profiles(mentions: DataFrame) -> DataFrame:

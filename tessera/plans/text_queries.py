@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import written
 from tessera.operators import classify as C
 from tessera.operators import profiles as P
 from tessera.plans import tables as T
@@ -149,5 +150,9 @@ select gate, actual, threshold, case when gate = 'G2' then actual = 0 else actua
 
 @query("quality_gates", quality_gates_sql())
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are read once: a document leaves its case, quality and type, and the entities found in it."""
     docs = typed(spark, sf_dir)
-    return P.quality_gates(P.case_summaries(docs), docs, P.entity_profiles(mentions(spark, sf_dir)))
+    found = P.mentioned(F.col("content"), ORGS, GEAR)
+    slim = written(docs.select("case_id", "doc_ord", "document_type", "passed", F.when(F.col("passed"), found).alias("found")))
+    mentions_ = slim.select("case_id", "doc_ord", F.inline("found"))
+    return P.quality_gates(P.case_summaries(slim), slim, P.entity_profiles(mentions_))

@@ -19,3 +19,9 @@ def test_texts_do_not_travel_to_references(spark):
     found = text.first_modified(labels, texts, texts.replace({"b": "c"}, subset=["content"]))
     assert "content" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {(7, 2, False), (8, None, True)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+@pytest.mark.parametrize("name", ["quality_gates", "gate_actions", "gates_failed"])
+def test_gates_read_texts_once(spark, name):
+    assert not [f for f in registry.QUERIES[name](spark, DIR).inputFiles() if "documents" in f]
