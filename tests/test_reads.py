@@ -25,3 +25,9 @@ def test_texts_do_not_travel_to_references(spark):
 @pytest.mark.parametrize("name", ["quality_gates", "gate_actions", "gates_failed"])
 def test_gates_read_texts_once(spark, name):
     assert not [f for f in registry.QUERIES[name](spark, DIR).inputFiles() if "documents" in f]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+@pytest.mark.parametrize("name", ["score_partial", "score_partial_by_scope", "seed_optional_by_scope"])
+def test_scores_read_line_items_once(spark, name):
+    assert not [f for f in registry.QUERIES[name](spark, DIR).inputFiles() if "lineitem" in f]
