@@ -31,3 +31,9 @@ def test_gates_read_texts_once(spark, name):
 @pytest.mark.parametrize("name", ["score_partial", "score_partial_by_scope", "seed_optional_by_scope"])
 def test_scores_read_line_items_once(spark, name):
     assert not [f for f in registry.QUERIES[name](spark, DIR).inputFiles() if "lineitem" in f]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_target_pairs_look_for_terms_once(spark):
+    df = registry.QUERIES["target_pairs"](spark, DIR)
+    assert not [f for f in df.inputFiles() if "documents" in f]
