@@ -18,7 +18,7 @@ def document_nodes(claims: DataFrame) -> DataFrame:
 
 def co_members(rows: DataFrame, group: list[str], member: str) -> DataFrame:
     """(a, b, weight) with a < b: unordered pairs of members and the number of groups that they share. A large group is many tasks' work."""
-    rows = measured(rows.select(*group, member).distinct(), group)
+    rows = measured(written(rows.select(*group, member).distinct()), group)
     a, b = rows.withColumnRenamed(member, "a"), rows.withColumnRenamed(member, "b")
     return crossed(a, b, group, "a", "n").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
@@ -33,7 +33,8 @@ def first_of(*edges: DataFrame) -> DataFrame:
 
 def document_edges(claims: DataFrame) -> DataFrame:
     """Documents that share a fact (subject and predicate), else a subject."""
-    facts = co_members(claims, ["subject", "predicate"], "document").withColumn("kind", F.lit("shared_fact"))
+    # Facts are read twice, as edges and as what is no longer an edge by subject.
+    facts = written(co_members(claims, ["subject", "predicate"], "document").withColumn("kind", F.lit("shared_fact")))
     return first_of(facts, co_members(claims, ["subject"], "document").withColumn("kind", F.lit("shared_entity")))
 
 

@@ -37,3 +37,8 @@ def test_scores_read_line_items_once(spark, name):
 def test_target_pairs_look_for_terms_once(spark):
     df = registry.QUERIES["target_pairs"](spark, DIR)
     assert not [f for f in df.inputFiles() if "documents" in f]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_edges_are_made_once_to_be_looked_up(spark):
+    assert not [f for f in registry.QUERIES["edge_lookup"](spark, DIR).inputFiles() if "lineitem" in f]
