@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import written
+
 # What a plain scalar of a note's head may not hold, begin with or be.
 SPECIAL = r"[:#\[\]{},&*?|<>=!%@`\n\t]"
 LEADING = r"^[-?:\"'!%@`&*]"
 RESERVED = ["true", "false", "null", "yes", "no", "~", "on", "off"]
 #: Folder of each kind of label's notes and the mark on a document that hosts one.
 LABEL_KINDS = ("contradiction", "distractor")
+#: Names and scalars that need no look at the rules above: most are of these.
+PLAIN_NAME = r"^[A-Za-z0-9\-](?:[A-Za-z0-9_.\-]*[A-Za-z0-9\-])?\z"
+PLAIN_SCALAR = r"^(?!(?i:true|false|null|yes|no|on|off)\z)[A-Za-z0-9_](?:[A-Za-z0-9_.\- ]*[A-Za-z0-9_.\-])?\z"
+
+
+def integral(v: Column) -> Column:
+    """Whether a column's type is one of whole numbers, which the planner knows."""
+    return F.typeof(v).isin("tinyint", "smallint", "int", "bigint")
 
 
 def safe(name: Column) -> Column:
     """A name that files and links can bear: runs of other signs become one underscore; never empty."""
-    s = F.regexp_replace(F.regexp_replace(name.cast("string"), r"(?U)[^\w\-.]+", "_"), r"^[_.]+|[_.]+$", "")
-    return F.when(s == "", "_").otherwise(s)
+    given = name.cast("string")
+    s = F.regexp_replace(F.regexp_replace(given, r"(?U)[^\w\-.]+", "_"), r"^[_.]+|[_.]+$", "")
+    return F.when(integral(name) | given.rlike(PLAIN_NAME), given).when(s == "", "_").otherwise(s)
 
 
 def linked(name: Column) -> Column:
@@ -28,7 +39,15 @@ def scalar(v: Column) -> Column:
     s = v.cast("string")
     odd = s.rlike(SPECIAL) | s.rlike(LEADING) | F.lower(s).isin(*RESERVED) | s.rlike(r"(?U)^\s|\s$")
     escaped = F.replace(F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit(" "))
-    return F.when(s == "", '""').when(odd, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(s)
+    whole = F.when(F.startswith(s, F.lit("-")), F.concat(F.lit('"'), s, F.lit('"'))).otherwise(s)
+    return F.when(integral(v), whole).when(s.rlike(PLAIN_SCALAR), s).when(s == "", '""').when(odd, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(s)
+
+
+def trimmed(text: Column, tail: int = 16) -> Column:
+    """A text without white space at its end, looked for in its last signs only, unless these are all white."""
+    white = lambda t: F.regexp_replace(t, r"(?U)\s+$", "")
+    end = white(F.right(text, F.lit(tail)))
+    return F.when(end != "", F.concat(F.left(text, F.length(text) - tail), end)).otherwise(white(text))
 
 
 def note(folder: str, name: Column, props: dict[str, Column], tags: list[Column], body: list[Column]) -> list[Column]:
@@ -36,7 +55,7 @@ def note(folder: str, name: Column, props: dict[str, Column], tags: list[Column]
     head = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in props.items()]
     marks = F.transform(F.array_distinct(F.array_compact(F.array(*tags))), lambda t: F.concat(F.lit("  - "), t))
     text = F.concat_ws("\n", F.lit("---"), *head, F.lit("tags:"), marks, F.lit("---"), F.lit(""), *body)
-    return [F.concat(F.lit(f"{folder}/"), safe(name), F.lit(".md")).alias("path"), F.concat(F.regexp_replace(text, r"(?U)\s+$", ""), F.lit("\n")).alias("body")]
+    return [F.concat(F.lit(f"{folder}/"), safe(name), F.lit(".md")).alias("path"), F.concat(trimmed(text), F.lit("\n")).alias("body")]
 
 
 def section(title: str, items: Column) -> Column:
@@ -49,20 +68,18 @@ def quoted(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", F.array(F.concat(F.lit("> "), text), F.lit("")))
 
 
-def listed(rows: DataFrame, key: str, line: Column, order: list[str], name: str) -> DataFrame:
-    """(key, name): the lines of each key in an order, repeats kept."""
-    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]).alias(name))
-
-
 def document_notes(docs: DataFrame, claims: DataFrame, labels: DataFrame) -> DataFrame:
     """Notes of the documents (document, content) and of those that only claims name: their claims in order of id, the labels (label_id, kind, ord, refs) that refer to them in order of labels, a label that refers twice twice, and the text."""
-    refs = labels.select("kind", "ord", "label_id", F.posexplode("refs").alias("pos", "document"))
-    all_ = docs.select("document").union(claims.select("document")).where("document is not null").distinct()
-    x = all_.join(docs.select("document", "content"), "document", "left").join(listed(claims, "document", F.concat(F.lit("- "), linked(F.col("claim_id"))), ["claim_id"], "claims"), "document", "left")
-    for kind in LABEL_KINDS:
-        x = x.join(listed(refs.where(F.col("kind") == kind), "document", F.concat(F.lit("- "), linked(F.col("label_id"))), ["ord", "pos"], kind), "document", "left")
+    refs = labels.where(F.col("kind").isin(*LABEL_KINDS)).select("kind", "ord", "label_id", F.posexplode("refs").alias("pos", "document"))
+    # Lines of all kinds are grouped at once.
+    lines = claims.select("document", F.lit("claims").alias("kind"), "claim_id", F.concat(F.lit("- "), linked(F.col("claim_id"))).alias("line"))
+    lines = lines.unionByName(refs.select("document", "kind", "ord", "pos", F.concat(F.lit("- "), linked(F.col("label_id"))).alias("line")), allowMissingColumns=True)
+    order = ["kind", "claim_id", "ord", "pos"]
+    grouped = lines.where("document is not null").groupBy("document").agg(F.array_sort(F.collect_list(F.struct(*order, "line"))).alias("lines"))
+    of = lambda kind: F.transform(F.filter("lines", lambda x: x["kind"] == kind), lambda x: x["line"])
+    x = docs.where("document is not null").select("document", "content", F.lit(True).alias("given")).join(grouped, "document", "full")
     none = F.array().cast("array<string>")
-    x = x.withColumns({c: F.coalesce(c, none) for c in ("claims", *LABEL_KINDS)})
+    x = x.withColumns({c: F.coalesce(of(c), none) for c in ("claims", *LABEL_KINDS)}).where("given or size(claims) > 0")
     title = F.col("document").cast("string")
     count = lambda c: F.size(c).cast("string")
     props = {"type": F.lit("document"), "document_id": scalar(title), "claim_count": count("claims")} | {f"{k}_count": count(k) for k in LABEL_KINDS}
@@ -78,14 +95,18 @@ def claim_notes(claims: DataFrame, links: DataFrame) -> DataFrame:
     named = F.coalesce(F.col("link_id").cast("string"), F.lit("")) != ""
     xref = F.when(named, F.concat(F.lit("- "), linked(F.col("link_id")), F.lit(" ("), "relation", F.lit(")")))
     group = F.when(named, F.concat(F.lit("- "), linked(F.col("link_id")), F.lit(" — "), F.coalesce(F.nullif("theme", F.lit("")), F.col("relation"))))
-    x = claims.join(listed(at.where("not cluster"), "claim_id", xref, ["link_id", "pos"], "xrefs"), "claim_id", "left").join(listed(at.where("cluster"), "claim_id", group, ["link_id", "pos"], "clusters"), "claim_id", "left")
+    found = at.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("link_id", "pos", "cluster", F.when(F.col("cluster"), group).otherwise(xref).alias("line")))).alias("found"))
+    of = lambda keep: F.transform(F.filter("found", keep), lambda x: x["line"])
+    x = claims.join(found, "claim_id", "left").withColumns({"xrefs": of(lambda x: ~x["cluster"]), "clusters": of(lambda x: x["cluster"])})
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # As of an empty text, but told by the column's own type.
+    name, value = lambda c: F.coalesce(safe(F.col(c)), F.lit("_")), lambda c: F.coalesce(scalar(F.col(c)), F.lit('""'))
     category = F.coalesce(F.col("category").cast("string"), F.lit("unknown"))
-    props = {"type": F.lit("claim"), "claim_id": scalar(F.col("claim_id"))} | {c: scalar(text(c)) for c in ("subject", "predicate", "object")}
-    props |= {"category": scalar(category), "source_document": scalar(text("document")), "confidence": F.col("confidence").cast("string")}
-    tags = [F.lit("claim"), F.concat(F.lit("category/"), safe(category)), F.concat(F.lit("predicate/"), safe(text("predicate"))), F.concat(F.lit("doc/"), safe(text("document")))]
+    props = {"type": F.lit("claim"), "claim_id": scalar(F.col("claim_id"))} | {c: value(c) for c in ("subject", "predicate", "object")}
+    props |= {"category": scalar(category), "source_document": value("document"), "confidence": F.col("confidence").cast("string")}
+    tags = [F.lit("claim"), F.concat(F.lit("category/"), safe(category)), F.concat(F.lit("predicate/"), name("predicate")), F.concat(F.lit("doc/"), name("document"))]
     head = F.concat(F.lit("# "), text("claim_id"), F.lit(" — "), text("subject"), F.lit(" `"), text("predicate"), F.lit("` "), text("object"))
-    body = [head, F.lit(""), F.concat(F.lit("Source: "), linked(text("document"))), F.lit(""), section("Cross-references", F.col("xrefs")), section("Clusters", F.col("clusters"))]
+    body = [head, F.lit(""), F.concat(F.lit("Source: [["), name("document"), F.lit("]]")), F.lit(""), section("Cross-references", F.col("xrefs")), section("Clusters", F.col("clusters"))]
     return x.select(*note("claims", F.col("claim_id"), props, tags, body))
 
 
@@ -100,11 +121,12 @@ def link_notes(links: DataFrame, claims: DataFrame) -> DataFrame:
     tail = [F.lit("## Members"), F.lit(""), F.col("members")]
     rel = F.concat(F.lit("rel/"), safe(F.col("relation")))
     lines = [F.concat(F.lit("# "), F.col("link_id").cast("string"), F.lit(" — "), "relation"), F.lit(""), quoted(F.col("theme"))]
-    pairs = x.where("not cluster").select(*note("xrefs", F.col("link_id"), {"type": F.lit("xref"), "xref_id": scalar(F.col("link_id")), "relationship_type": scalar(F.col("relation")), "member_count": count}, [F.lit("xref"), rel], lines + tail))
+    pairs = F.struct(*note("xrefs", F.col("link_id"), {"type": F.lit("xref"), "xref_id": scalar(F.col("link_id")), "relationship_type": scalar(F.col("relation")), "member_count": count}, [F.lit("xref"), rel], lines + tail))
     title = F.concat(F.lit("# "), F.col("link_id").cast("string"), F.lit(" — "), F.when(theme != "", theme).otherwise(F.col("relation")))
     about = F.when(theme != "", F.array(F.concat(F.lit("Relation: `"), "relation", F.lit("`")), F.lit("")))
     props = {"type": F.lit("cluster"), "cluster_id": scalar(F.col("link_id")), "relation": scalar(F.col("relation")), "theme": scalar(theme), "member_count": count}
-    return pairs.union(x.where("cluster").select(*note("clusters", F.col("link_id"), props, [F.lit("cluster"), rel], [title, F.lit(""), about, *tail])))
+    clusters = F.struct(*note("clusters", F.col("link_id"), props, [F.lit("cluster"), rel], [title, F.lit(""), about, *tail]))
+    return x.where("cluster is not null").select(F.when(F.col("cluster"), clusters).otherwise(pairs).alias("x")).select("x.*")
 
 
 def label_notes(labels: DataFrame) -> DataFrame:
@@ -127,4 +149,6 @@ def label_notes(labels: DataFrame) -> DataFrame:
 
 def vault(docs: DataFrame, claims: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     """(path, body) of every note of a dataset."""
+    # Both are read several times.
+    links, labels = written(links), written(labels)
     return document_notes(docs, claims, labels).union(claim_notes(claims, links)).union(link_notes(links, claims)).union(label_notes(labels))

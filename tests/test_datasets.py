@@ -118,6 +118,27 @@ def test_document_note(spark):
     assert got["documents/gone.md"].endswith("# gone\n\n## Claims sourced from this document\n\n- [[k3]]\n") and len(got) == 2
 
 
+def test_plain_notes_need_no_rules(spark):
+    """Whole numbers are told by their type; the white space at an end is found whatever its length."""
+    rows = [(7, "a\n" + " " * 40), (-7, "a b \n\n"), (None, " \n"), (0, "c" * 40)]
+    df = spark.createDataFrame(rows, "v long, t string")
+    got = df.select(notes.scalar(F.col("v")), notes.safe(F.col("v")), notes.trimmed(F.col("t")))
+    assert [tuple(r) for r in got.collect()] == [("7", "7", "a"), ('"-7"', "-7", "a b"), (None, None, ""), ("0", "0", "c" * 40)]
+    plan = df.select(notes.scalar(F.col("v")).alias("s"), notes.safe(F.col("v")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower() and "rlike" not in plan.lower()
+
+
+def test_notes_of_claims_and_links(spark):
+    claims = spark.createDataFrame([(1, "a: b", "p", None, None, "d", 0.5)], "claim_id long, subject string, predicate string, object string, category string, document string, confidence double")
+    rows = [(9, False, "r", "", [1, 1]), (8, True, "r", "t", [1, -1]), (7, None, "r", "", [1]), (None, False, "r", "", [1])]
+    links = spark.createDataFrame(rows, "link_id long, cluster boolean, relation string, theme string, claim_ids array<long>")
+    got = {r.path: r.body for r in notes.claim_notes(claims, links).collect()}
+    assert list(got) == ["claims/1.md"] and 'subject: "a: b"\npredicate: p\nobject: ""\ncategory: unknown\nsource_document: d' in got["claims/1.md"]
+    assert got["claims/1.md"].endswith("## Cross-references\n\n- [[9]] (r)\n- [[9]] (r)\n\n## Clusters\n\n- [[8]] — t\n")
+    got = {r.path: r.body for r in notes.link_notes(links, claims).collect()}
+    assert sorted(got) == ["clusters/8.md", "xrefs/9.md"] and got["clusters/8.md"].endswith("## Members\n\n- [[1]]\n- `-1` (claim not found)\n")
+
+
 def test_calls_try_again():
     waits, left = [], [audit.Busy("slow"), None, ("text", 3, 4)]
 

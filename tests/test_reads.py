@@ -42,3 +42,9 @@ def test_target_pairs_look_for_terms_once(spark):
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 def test_edges_are_made_once_to_be_looked_up(spark):
     assert not [f for f in registry.QUERIES["edge_lookup"](spark, DIR).inputFiles() if "lineitem" in f]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_notes_make_links_and_labels_once(spark):
+    plan = registry.QUERIES["note_vault"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "datediff" not in plan and "because" not in plan
