@@ -1,6 +1,7 @@
 """Edge cases of the operators: empty sides, ties, repeats, exact offsets, known statistics."""
 
 import difflib
+import itertools
 import random
 
 from pyspark.sql import functions as F
@@ -95,6 +96,22 @@ def test_diff_opcodes_of_whole_texts(spark, tmp_path):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_matcher_finds_what_difflib_finds():
+    """The same opcodes for texts of few and many signs, edited once, often or throughout; an edited long text is not searched sign by sign."""
+    rng = random.Random(5)
+    for n, signs in itertools.product((0, 1, 30, 199, 200, 900), ("ab", "abcdefgh ABC.", "etaoin shrdlu" * 9 + "CMFWYPVBGKQJXZ0123\U0001f600é")):
+        for edits in (1, 4, n // 3):
+            a = "".join(rng.choice(signs) for _ in range(n))
+            b = a
+            for _ in range(edits):
+                at = rng.randrange(len(b) + 1)
+                b = b[:at] + rng.choice(["<12>", "", "e", "Q7Q"]) + b[at + rng.randrange(6) :]
+            assert text.Matcher(a, b).get_opcodes() == difflib.SequenceMatcher(None, a, b).get_opcodes()
+    words = "".join(f"Line {i} tells of the {i % 7}th house\n" for i in range(600))
+    m = text.Matcher(words, words.replace("tells", "<1>", 1))
+    assert m.get_opcodes() == difflib.SequenceMatcher(None, m.a, m.b).get_opcodes() and not m.full
+
+
 def test_t_distribution():
     assert abs(stats.t_two_sided(12.706, 1) - 0.05) < 1e-5
     assert abs(stats.t_two_sided(2.776, 4) - 0.05) < 2e-4
