@@ -17,32 +17,40 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
-def plain(piece: Column) -> Column:
-    """A piece with any white space before it as one space."""
-    return F.regexp_replace(piece, r"(?U)^\s+", " ")
+def plain_pieces(text: Column) -> Column:
+    """The pieces of a text, any white space before one as one space."""
+    return pieces(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def phrases(mapping: DataFrame) -> DataFrame:
-    """(phrase, many, first, original, anonymized): each phrase of a map (original, anonymized) once, with its number of pieces and the first of them. Of entries with one phrase the least holds; empty ones are left out; a null replacement is empty."""
-    cut = mapping.select(F.trim("original").alias("original"), F.coalesce("anonymized", F.lit("")).alias("anonymized")).withColumn("p", F.transform(pieces(F.col("original")), plain)).where("size(p) > 0")
-    out = cut.select(F.ltrim(F.array_join("p", "")).alias("phrase"), F.size("p").alias("many"), F.ltrim(F.col("p")[0]).alias("first"), "original", "anonymized")
-    return out.groupBy("phrase", "many", "first").agg(F.min(F.struct("original", "anonymized")).alias("x")).select("phrase", "many", "first", "x.*")
+    """(phrase, many, key, original, anonymized): each phrase of a map (original, anonymized) once, with its number of pieces and the first two of them (or the only one). Of entries with one phrase the least holds; empty ones are left out; a null replacement is empty."""
+    cut = mapping.select(F.trim("original").alias("original"), F.coalesce("anonymized", F.lit("")).alias("anonymized")).withColumn("p", plain_pieces(F.col("original"))).where("size(p) > 0")
+    out = cut.select(F.ltrim(F.array_join("p", "")).alias("phrase"), F.size("p").alias("many"), F.ltrim(F.array_join(F.slice("p", 1, 2), "")).alias("key"), "original", "anonymized")
+    return out.groupBy("phrase", "many", "key").agg(F.min(F.struct("original", "anonymized")).alias("x")).select("phrase", "many", "key", "x.*")
 
 
 def occurrences(docs: DataFrame, mapping: DataFrame) -> DataFrame:
     """(doc_id, start, many, size, original, anonymized): where phrases of the map stand in ``docs`` (doc_id, content), by pieces, overlapping or not.
 
-    A word meets the map only if a phrase begins with it, by a join on the first word that gives the numbers of pieces
-    to look at; what these make up meets the map in a second join. Both sides of either join are shuffled by hashed
-    words unless the map is counted small, and an entry's many occurrences are rows of their documents.
+    A place meets the map only if a phrase begins with its first two pieces (or is its first alone), by a join that
+    gives the numbers of pieces to look at; what these make up meets the map in a second join. Where the beginnings are
+    counted small they go to the documents, whose pieces stay in place; else both sides are shuffled by hashed keys,
+    places with as many pieces as the longest phrase. An entry's many occurrences are rows of their documents.
     """
     known = written(phrases(mapping))
-    begins = written(known.select("first", "many").distinct())
-    most = begins.agg(F.max("many")).first()[0] or 1
-    cut = docs.select("doc_id", F.transform(pieces(F.col("content")), plain).alias("p"))
-    starts = cut.select("doc_id", F.posexplode(F.transform("p", lambda x, i: F.struct(F.ltrim(x).alias("first"), F.slice("p", i + 1, most).alias("next")))).alias("start", "x"))
-    met = starts.select("doc_id", "start", "x.first", "x.next").join(sized(begins), "first").where("size(next) >= many")
-    found = met.select("doc_id", "start", F.ltrim(F.array_join(F.slice("next", F.lit(1), F.col("many")), "")).alias("phrase")).join(sized(known.drop("first")), "phrase")
+    begins = written(known.select("key", "many").distinct())
+    small = sized(begins)
+    cut = docs.select("doc_id", plain_pieces(F.col("content")).alias("p"))
+    if small is begins:
+        most = begins.agg(F.max("many")).first()[0]
+        starts = cut.select("doc_id", F.posexplode(F.transform("p", lambda x, i: F.slice("p", i + 1, most))).alias("start", "p")).withColumn("at", F.lit(0))
+    else:
+        starts = cut.select("doc_id", "p", F.posexplode("p").alias("start", "piece")).drop("piece").withColumn("at", F.col("start"))
+    first, second = F.ltrim(F.get("p", F.col("at"))), F.coalesce(F.get("p", F.col("at") + 1), F.lit(""))
+    # No piece reads as two do, so that no phrase is found by both keys.
+    keys = starts.withColumn("key", F.explode(F.when(second == "", F.array(first)).otherwise(F.array(first, F.concat(first, second)))))
+    met = keys.join(small, "key").where("size(p) - at >= many")
+    found = met.select("doc_id", "start", F.ltrim(F.array_join(F.slice("p", F.col("at") + 1, F.col("many")), "")).alias("phrase")).join(sized(known.drop("key")), "phrase")
     return found.select("doc_id", "start", "many", F.length("original").alias("size"), "original", "anonymized")
 
 

@@ -58,3 +58,16 @@ def test_names(spark):
 def test_nothing_to_do(spark):
     docs, mapping = spark.createDataFrame([(1, "a")], "doc_id int, content string"), spark.createDataFrame([], "original string, anonymized string")
     assert anonymise.anonymised(docs, mapping).collect() == [(1, "a", 0)] and not anonymise.anonymised(docs.limit(0), mapping).count()
+
+
+def test_beginnings_of_any_number_are_looked_up(spark, monkeypatch):
+    """Two pieces tell where a phrase may stand; the same rows whether the beginnings are sent out or shuffled."""
+    docs = spark.createDataFrame([(1, "the  cat, the dog the cat\n sat. the"), (2, "the"), (3, None)], "doc_id int, content string")
+    mapping = spark.createDataFrame([("the cat", "A"), ("the cat sat", "B"), ("the", "C"), (",", ";")], "original string, anonymized string")
+    assert {(r.phrase, r.key) for r in anonymise.phrases(mapping).collect()} == {("the cat", "the cat"), ("the cat sat", "the cat"), ("the", "the"), (",", ",")}
+    want = [(1, "A; C dog B. C", 5), (2, "C", 1), (3, None, 0)]
+    assert sorted(map(tuple, anonymise.anonymised(docs, mapping).collect())) == want
+    places = sorted(map(tuple, anonymise.occurrences(docs, mapping).collect()))
+    monkeypatch.setattr(anonymise, "sized", lambda df: df)
+    assert sorted(map(tuple, anonymise.anonymised(docs, mapping).collect())) == want
+    assert sorted(map(tuple, anonymise.occurrences(docs, mapping).collect())) == places and len(places) == len(set(places))
