@@ -140,7 +140,7 @@ n as (select report_id, coalesce(n_det, 0) as n_det, coalesce(n_gold, 0) as n_go
 select report_id, {rates('coalesce(credit, 0)')}, round(round(case when n_det = 0 or n_gold = 0 or coalesce(pairs, 0) = 0 then 0.0 else credit / pairs end, 10), 6) as partial_credit
 from n left join (select report_id, sum(similarity) as credit, count(*) as pairs from m group by all) using (report_id)""")
 def score_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.partial_scores(T.detections(spark, sf_dir), T.gold(spark, sf_dir), ["report_id"])
+    return M.partial_scores(*T.sides(spark, sf_dir), ["report_id"])
 
 
 @query("distractor_fpr", f"""with {BASE}

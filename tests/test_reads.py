@@ -7,7 +7,7 @@ import os
 import pytest
 
 from tessera.operators import text
-from tessera.plans import registry
+from tessera.plans import registry, tables
 
 registry.load()
 DIR = "/root/testdata/sf0.001"
@@ -48,3 +48,12 @@ def test_edges_are_made_once_to_be_looked_up(spark):
 def test_notes_make_links_and_labels_once(spark):
     plan = registry.QUERIES["note_vault"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "datediff" not in plan and "because" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+@pytest.mark.parametrize("name", ["score_partial", "score_partial_by_scope"])
+def test_scores_gather_suppliers_once(spark, monkeypatch, name):
+    calls, real = [], tables.order_refs
+    monkeypatch.setattr(tables, "order_refs", lambda *args: calls.append(1) or real(*args))
+    registry.QUERIES[name](spark, DIR)
+    assert len(calls) == 1
