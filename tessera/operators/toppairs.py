@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.lineage import written
+from tessera.functions.lineage import sized, written
 from tessera.operators.pairs import FEATURES, SIGNALS, best, crossed, tokens
 
-#: Documents of a case whose pairs set the first bar.
-SEEDS = 32
+#: Documents of a case whose pairs set the first bar: each meets those up to NEAR places off in an order that brings copies together; the LONGEST all meet each other.
+SEEDS, NEAR, LONGEST = 256, 4, 24
 #: Scores are compared after rounding to six places.
 SLACK = 1e-6
 #: Widths of the cells of features, each a multiple of the next.
@@ -23,17 +23,12 @@ def bar(pairs: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("case_id").agg(F.min("score").alias("bar"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
 
 
-def weighed_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((case_id, doc_ord, term, idf, df), (case_id, doc_ord, signals)), both written: terms that some but not all documents of a case share, as 64-bit hashes; signal words as bits."""
+def hashed_words(docs: DataFrame) -> DataFrame:
+    """(case_id, doc_ord, signals, terms, size), written: a document's different words as 64-bit hashes, signal words as bits."""
     words = docs.select("case_id", "doc_ord", F.array_distinct(tokens()).alias("words"))
-    listed = F.array(*map(F.lit, SIGNALS))
-    bits = F.aggregate(F.array_intersect("words", listed), F.lit(0), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1), (F.array_position(listed, w) - 1).cast("int"))))
-    signals = written(words.select("case_id", "doc_ord", bits.alias("signals")))
-    terms = words.select("case_id", "doc_ord", F.explode("words").alias("term")).withColumn("term", F.xxhash64("term"))
-    n = signals.groupBy("case_id").agg(F.countDistinct("doc_ord").alias("n"))
-    idf = terms.groupBy("case_id", "term").agg(F.count("*").alias("df")).where("df > 1").join(n, "case_id").where("df < n")
-    idf = idf.select("case_id", "term", "df", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
-    return written(terms.join(idf, ["case_id", "term"])), signals
+    words = words.select("case_id", "doc_ord", F.transform("words", lambda w: F.xxhash64(w)).alias("terms"), F.coalesce(F.size("words"), F.lit(0)).alias("size"))
+    bits = sum((F.array_contains("terms", F.xxhash64(F.lit(s))).cast("int") * (1 << i) for i, s in enumerate(SIGNALS)), F.lit(0))
+    return written(words.select("case_id", "doc_ord", bits.alias("signals"), "terms", "size"))
 
 
 def lone(a: str, b: str) -> Column:
@@ -41,41 +36,62 @@ def lone(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def overlaps(pairs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``pairs`` (case_id, doc_a, doc_b, signals_a, signals_b) with their score: the idf of the terms they share, raised by half for each lone signal."""
-    a = terms.select("case_id", F.col("doc_ord").alias("doc_a"), "term", "idf")
-    b = terms.select("case_id", F.col("doc_ord").alias("doc_b"), "term")
-    shared = pairs.join(a, ["case_id", "doc_a"]).join(b, ["case_id", "doc_b", "term"])
-    sums = shared.groupBy("case_id", "doc_a", "doc_b", "signals_a", "signals_b").agg(F.sum("idf").alias("overlap"))
+def overlaps(pairs: DataFrame, words: DataFrame, idf: DataFrame) -> DataFrame:
+    """``pairs`` (written: case_id, doc_a, doc_b, signals_a, signals_b) with their score: the idf of the terms they share, raised by half for each lone signal."""
+    ends = pairs.select("case_id", F.explode(F.array("doc_a", "doc_b")).alias("doc_ord")).distinct()
+    ends = written(words.select("case_id", "doc_ord", "terms").join(sized(written(ends)), ["case_id", "doc_ord"]))
+    side = lambda s: ends.withColumnsRenamed({"doc_ord": f"doc_{s}", "terms": f"terms_{s}"})
+    shared = pairs.join(side("a"), ["case_id", "doc_a"]).join(side("b"), ["case_id", "doc_b"]).withColumn("term", F.explode(F.array_intersect("terms_a", "terms_b"))).drop("terms_a", "terms_b")
+    sums = shared.join(idf, ["case_id", "term"]).groupBy("case_id", "doc_a", "doc_b", "signals_a", "signals_b").agg(F.sum("idf").alias("overlap"))
     return sums.select("case_id", "doc_a", "doc_b", (F.col("overlap") * (1 + 0.5 * lone("signals_a", "signals_b"))).alias("score"))
 
 
-def keyword_candidates(docs: DataFrame, k: int, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame]:
-    """((case_id, doc_a, doc_b, signals_a, signals_b), terms): the pairs that may be among the ``k`` best by shared terms.
-
-    The pairs of the ``seeds`` heaviest documents of a case set its bar. A pair shares no more than either document
-    weighs, and lone signals raise it by a bounded factor: documents that weigh too little for the bar go. Terms of
-    the others are posted in order of impact, rarest first, only while what is left of the document could make up a
-    score at the bar: two documents that reach it share one of these. What the posted terms and the rest bound is
-    compared with the bar once more.
+def seed_pairs(words: DataFrame, k: int, seeds: int) -> DataFrame:
+    """(case_id, doc_a, doc_b, signals_a, signals_b), written: of pairs among the ``seeds`` documents of a case with most words, the 2 ``k`` that share most words, lone signals counted."""
+    first = Window.partitionBy("case_id").orderBy(F.desc("size"), "doc_ord")
+    some = sized(written(words.select("case_id", "doc_ord", "size").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= seeds).drop("size")))
+    # Copies share the least of their hashes, and have about as many.
+    near = Window.partitionBy("case_id").orderBy(F.array_min("terms"), "size", "doc_ord")
+    some = written(words.where("size > 0").join(some, ["case_id", "doc_ord"]).withColumn("at", F.row_number().over(near)))
+    side = lambda s: some.select("case_id", *[F.col(c).alias(f"{n}_{s}") for c, n in (("doc_ord", "doc"), ("signals", "signals"), ("terms", "terms"), ("nth", "nth"), ("at", "at"))])
+    meet = (F.abs(F.col("at_a") - F.col("at_b")) <= NEAR) | (F.greatest("nth_a", "nth_b") <= LONGEST)
+    met = side("a").join(side("b"), "case_id").where(F.expr("doc_a < doc_b") & meet)
+    shared = F.size(F.array_intersect("terms_a", "terms_b")) * (1 + 0.5 * lone("signals_a", "signals_b"))
+    met = met.select("case_id", "doc_a", "doc_b", "signals_a", "signals_b", shared.alias("shared"))
+    top = Window.partitionBy("case_id").orderBy(F.desc("shared"), "doc_a", "doc_b")
+    return written(met.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= 2 * k).drop("nth", "shared"))
+
+
+def keyword_candidates(docs: DataFrame, k: int, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((case_id, doc_a, doc_b, signals_a, signals_b), words, idf): the pairs that may be among the ``k`` best by shared terms.
+
+    ``seed_pairs`` set a case's bar. A pair shares no more than either document weighs, and lone signals raise it by a
+    bounded factor: documents that weigh too little for the bar go, first by their number of words, each taken to be
+    as rare as a shared one can be, so that only few are weighed. Of documents with the same words and signals only the
+    ``k`` + 1 first can be in a best pair. Terms of the others are posted in order of impact, rarest first, only while
+    what is left of the document could make up a score at the bar: two documents that reach it share one of these.
+    What the posted terms and the rest bound is compared with the bar once more.
     """
-    terms, signals = weighed_terms(docs)
-    case = signals.groupBy("case_id").agg(F.bit_or("signals").alias("any"), F.bit_and("signals").alias("all"), F.max(F.bit_count("signals")).alias("most"))
-    heavy = written(terms.groupBy("case_id", "doc_ord").agg(F.sum("idf").alias("weight")).join(signals, ["case_id", "doc_ord"]))
-    first = Window.partitionBy("case_id").orderBy(F.desc("weight"), "doc_ord")
-    some = written(heavy.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= seeds).select("case_id", "doc_ord", "signals"))
-    one = some.select("case_id", F.col("doc_ord").alias("doc_a"), F.col("signals").alias("signals_a"))
-    two = some.select("case_id", F.col("doc_ord").alias("doc_b"), F.col("signals").alias("signals_b"))
-    bars = written(bar(overlaps(one.join(two, "case_id").where("doc_a < doc_b"), terms), k))
+    words = hashed_words(docs)
+    case = words.groupBy("case_id").agg(F.countDistinct("doc_ord").alias("n"), F.bit_or("signals").alias("any"), F.bit_and("signals").alias("all"), F.max(F.bit_count("signals")).alias("most"))
+    case = sized(written(case))
+    df = words.select("case_id", F.explode("terms").alias("term")).groupBy("case_id", "term").agg(F.count("*").alias("df")).where("df > 1")
+    idf = written(df.join(case.select("case_id", "n"), "case_id").where("df < n").select("case_id", "term", "df", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf")))
+    bars = sized(written(bar(overlaps(seed_pairs(words, k, seeds), words, idf), k)))
     # The greatest factor that a pair of this document can have.
     ones = F.bit_count("signals")
     out = F.bit_count(F.expr("signals & ~`all`")) + F.bit_count(F.expr("`any` & ~signals"))
     factor = 1 + 0.5 * F.least(out, ones + F.col("most"))
-    live = heavy.join(case, "case_id").join(bars, "case_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
-    live = live.withColumn("least", F.greatest(F.lit(0.0), (F.col("bar") - SLACK) / factor * (1 - 1e-9))).where("weight >= least")
-    live = written(live.select("case_id", "doc_ord", "weight", "signals", "bar", "least"))
+    live = words.join(case, "case_id").join(bars, "case_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
+    live = live.withColumn("least", F.greatest(F.lit(0.0), (F.col("bar") - SLACK) / factor * (1 - 1e-9)))
+    # Shared terms are in two documents at least.
+    live = live.where("size > 0").where(F.col("size") * F.log((F.col("n") + 1) / 3) * (1 + 1e-9) >= F.col("least"))
+    same = Window.partitionBy("case_id", "signals", "size", "same").orderBy("doc_ord")
+    live = live.select("case_id", "doc_ord", "signals", "terms", "size", "bar", "least", F.xxhash64(F.array_sort("terms")).alias("same"))
+    live = live.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("size", "same", "nth")
+    terms = live.withColumn("term", F.explode("terms")).drop("terms").join(idf, ["case_id", "term"])
     left = F.sum("idf").over(Window.partitionBy("case_id", "doc_ord").orderBy(F.desc("df"), F.desc("term")))
-    posted = terms.join(live, ["case_id", "doc_ord"]).withColumn("left", left).where(F.col("left") * (1 + 1e-9) >= F.col("least"))
+    posted = terms.withColumn("left", left).where(F.col("left") * (1 + 1e-9) >= F.col("least"))
     posted = written(posted.withColumn("rest", F.col("left") - F.col("idf")).select("case_id", "doc_ord", "term", "idf", "signals", "bar", "rest"))
     posted = posted.join(posted.groupBy("case_id", "term").agg(F.count("*").alias("many")).where("many > 1"), ["case_id", "term"])
     a = posted.select("case_id", "term", "idf", "many", "bar", F.col("doc_ord").alias("doc_a"), F.col("signals").alias("signals_a"), F.col("rest").alias("rest_a"))
@@ -84,13 +100,13 @@ def keyword_candidates(docs: DataFrame, k: int, seeds: int = SEEDS) -> tuple[Dat
     met = met.groupBy("case_id", "doc_a", "doc_b", "signals_a", "signals_b", "bar").agg(F.sum("idf").alias("seen"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
     # After the last posted term that both have, neither can share more than it has left.
     most = (F.col("seen") + F.least("rest_a", "rest_b")) * (1 + 1e-9) * (1 + 0.5 * lone("signals_a", "signals_b"))
-    return met.where(most >= F.col("bar") - SLACK).select("case_id", "doc_a", "doc_b", "signals_a", "signals_b"), terms
+    return met.where(most >= F.col("bar") - SLACK).select("case_id", "doc_a", "doc_b", "signals_a", "signals_b"), words, idf
 
 
 def keyword_topk(docs: DataFrame, k: int, seeds: int = SEEDS) -> DataFrame:
     """``pairs.best`` of ``pairs.keyword_pairs``: the same rows, but only pairs that ``keyword_candidates`` leaves are scored. Documents without terms are in no pair; no documents give none."""
-    pairs, terms = keyword_candidates(docs, k, seeds)
-    return best(overlaps(written(pairs), terms), k)
+    pairs, words, idf = keyword_candidates(docs, k, seeds)
+    return best(overlaps(written(pairs), words, idf), k)
 
 
 def distance(a: str = "a_", b: str = "b_") -> Column:

@@ -47,6 +47,20 @@ def test_few_pairs_are_looked_at(spark):
     assert opened.agg(F.sum(F.col("x") * F.col("y"))).first()[0] * 10 < 405 * 404 / 2
 
 
+def test_copies_and_light_documents_are_not_met(spark):
+    """Of equal documents only the first can be best; near copies past the heaviest documents set the bar."""
+    random.seed(3)
+    heavy = [" ".join(random.sample([f"w{j}" for j in range(4000)], 150)) for _ in range(40)]
+    base = [f"c{j}" for j in range(120)]
+    near = [" ".join(base[: 120 - i]) for i in range(6)]
+    rows = list(enumerate(heavy + near + [" ".join(f"s{j}" for j in range(110))] * 300))
+    random.shuffle(rows)
+    docs = spark.createDataFrame([("a", i, x) for i, x in rows], DOCS)
+    assert toppairs.keyword_candidates(docs, 10)[0].count() < 1000  # of 60,000
+    assert found(toppairs.keyword_topk(docs, 10)) == found(pairs.best(pairs.keyword_pairs(docs), 10))
+    some = spark.createDataFrame([("a", i, "x y z" if i % 3 else f"x y not q{i % 5}") for i in random.sample(range(400), 120)] + [("a", 900, "k")], DOCS)
+    assert found(toppairs.keyword_topk(some, 12)) == found(pairs.best(pairs.keyword_pairs(some), 12))
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], DOCS)
     assert not toppairs.keyword_topk(docs, 3).count()
