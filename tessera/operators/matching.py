@@ -78,10 +78,9 @@ def assigned(pairs: DataFrame, key: list[str]) -> DataFrame:
 
 def partial_matches(detections: DataFrame, gold: DataFrame, key: list[str]) -> DataFrame:
     """(key, a, b, similarity): detections and labels assigned one to one by the similarity of their references."""
-    pairs = set_pairs(detections.withColumnRenamed("det_idx", "a"), gold.withColumnRenamed("label_idx", "b"), key)
-    d = detections.select(*key, F.col("det_idx").alias("a"), F.col("description").alias("order_a"))
-    g = gold.select(*key, F.col("label_idx").alias("b"), F.col("rationale").alias("order_b"))
-    return assigned(written(pairs.join(d, [*key, "a"]).join(g, [*key, "b"])), key).select(*key, "a", "b", "similarity")
+    d = detections.select(*key, F.col("det_idx").alias("a"), "refs", F.col("description").alias("order_a"))
+    g = gold.select(*key, F.col("label_idx").alias("b"), "refs", F.col("rationale").alias("order_b"))
+    return assigned(set_pairs(d, g, key, "order_a", "order_b"), key).select(*key, "a", "b", "similarity")
 
 
 def partial_scores(detections: DataFrame, gold: DataFrame, key: list[str]) -> DataFrame:

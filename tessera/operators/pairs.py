@@ -107,15 +107,47 @@ def divergent_pairs(features: DataFrame) -> DataFrame:
     return crossed(a, b, ["case_id"], "doc_a", "n").where("doc_a < doc_b").select("case_id", "doc_a", "doc_b", F.sqrt(sum((part(f) for f in FEATURES), F.lit(0.0))).alias("score"))
 
 
-def set_pairs(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """(key, a, b, similarity) of the pairs of ``left`` (key, a, refs) and ``right`` (key, b, refs) that share a member: Jaccard similarity of the lists as sets, by an equi-join on members."""
-    one = left.select(*key, "a", F.array_distinct("refs").alias("refs")).withColumn("size_a", F.size("refs")).withColumn("ref", F.explode("refs")).drop("refs")
-    two = right.select(*key, "b", F.array_distinct("refs").alias("refs")).withColumn("size_b", F.size("refs")).withColumn("ref", F.explode("refs")).drop("refs")
+#: Lists of a key, both sides together, up to which each of one side is held against each of the other.
+NARROW = 64
+
+
+def listed(left: DataFrame, right: DataFrame, key: list[str], more: tuple[str, ...]) -> list[DataFrame]:
+    """Both sides with their lists as sets, ``refs_a`` and ``refs_b``, and these sets' sizes."""
+    side = lambda x, s: x.select(*key, s, *[c for c in more if c in x.columns], F.array_distinct("refs").alias(f"refs_{s}")).withColumn(f"size_{s}", F.size(f"refs_{s}"))
+    return [side(left, "a"), side(right, "b")]
+
+
+def narrow_pairs(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
+    """The pairs of ``listed`` sides that share a member, and ``shared``: all lists of a key against each other, each row meeting few."""
+    both = one.join(two, key).where(F.arrays_overlap("refs_a", "refs_b"))
+    return both.withColumn("shared", F.size(F.array_compact(F.array_intersect("refs_a", "refs_b"))).cast("long")).drop("refs_a", "refs_b")
+
+
+def wide_pairs(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
+    """The same by an equi-join on members, for keys of any size."""
+    one, two = one.withColumn("ref", F.explode("refs_a")).drop("refs_a"), two.withColumn("ref", F.explode("refs_b")).drop("refs_b")
     key_ = [*key, "ref"]
     large = sized(written(oversized(one, key_)))
     one, two = (x.join(large, key_, "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long"))) for x in (one, two))
-    both = crossed(one, two, key_, "a", "n").groupBy(*key, "a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
-    return both.select(*key, "a", "b", (F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("similarity"))
+    both = crossed(one, two, key_, "a", "n")
+    return both.groupBy(*[c for c in both.columns if c != "ref"]).agg(F.count("*").alias("shared"))
+
+
+def set_pairs(left: DataFrame, right: DataFrame, key: list[str], *more: str) -> DataFrame:
+    """(key, a, b, ``more``, similarity) of the pairs of ``left`` (key, a, refs) and ``right`` (key, b, refs) that share a member: Jaccard similarity of the lists as sets. ``more`` columns of either side come along.
+
+    Keys of few lists are met whole, partitioned by key alone; only wide ones go member by member.
+    """
+    one, two = listed(left, right, key, more)
+    wide = one.select(*key).unionByName(two.select(*key)).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > NARROW)
+    wide = written(wide.drop("n"))
+    if wide.limit(1).count():
+        wide = sized(wide)
+        part = lambda how: [x.join(wide, key, how) for x in (one, two)]
+        both = narrow_pairs(*part("anti"), key).unionByName(wide_pairs(*part("semi"), key))
+    else:
+        both = narrow_pairs(one, two, key)
+    return both.select(*key, "a", "b", *more, (F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("similarity"))
 
 
 def key_terms(text: str = "content") -> Column:

@@ -127,3 +127,23 @@ def test_sampled_pairs_are_permuted_once_by_many_tasks(spark, monkeypatch):
     assert plan.count("md5(") <= 3 * sampling.ROUNDS
     assert pairs.rdd.getNumPartitions() > 10
     assert pairs.distinct().count() == 199 * 100
+
+
+def test_lists_of_small_keys_are_met_whole(spark, monkeypatch):
+    """Small keys are neither exploded nor shuffled beyond their key, wide ones go by member; repeats, nulls and empty lists count alike in both."""
+    random.seed(5)
+    refs = lambda: random.choice([None, [], [random.choice([1, 2, 3, None]) for _ in range(4)], random.choices(range(9), k=3)])
+    rows = [(random.choice([None, 1, 1, 1, 2]), i, refs()) for i in range(60)]
+    left = spark.createDataFrame([(*r, f"o{r[1]}") for r in rows[:30]], "k int, a int, refs array<long>, oa string")
+    right = spark.createDataFrame(rows[30:], "k int, b int, refs array<long>")
+    want = set()
+    for k, a, x in rows[:30]:
+        for l, b, y in rows[30:]:
+            both = {v for v in set(x or []) & set(y or []) if v is not None}
+            if k is not None and k == l and both:
+                want.add((k, a, b, f"o{a}", round(len(both) / (len(set(x)) + len(set(y)) - len(both)), 6)))
+    for narrow in (64, 30, 0):
+        monkeypatch.setattr(pairs, "NARROW", narrow)
+        got = pairs.set_pairs(left, right, ["k"], "oa")
+        assert {(r.k, r.a, r.b, r.oa, round(r.similarity, 6)) for r in got.collect()} == want
+        assert ("Generate" in got._jdf.queryExecution().optimizedPlan().toString()) == (narrow < 64)
