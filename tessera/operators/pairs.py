@@ -133,21 +133,24 @@ def wide_pairs(one: DataFrame, two: DataFrame, key: list[str]) -> DataFrame:
     return both.groupBy(*[c for c in both.columns if c != "ref"]).agg(F.count("*").alias("shared"))
 
 
-def set_pairs(left: DataFrame, right: DataFrame, key: list[str], *more: str) -> DataFrame:
-    """(key, a, b, ``more``, similarity) of the pairs of ``left`` (key, a, refs) and ``right`` (key, b, refs) that share a member: Jaccard similarity of the lists as sets. ``more`` columns of either side come along.
-
-    Keys of few lists are met whole, partitioned by key alone; only wide ones go member by member.
-    """
+def narrow_and_wide(left: DataFrame, right: DataFrame, key: list[str], *more: str, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``set_pairs`` in two: the pairs of keys of at most NARROW lists, met whole and partitioned by key alone, and those of wider ones, met member by member; None if there are no wider ones. ``counts`` (key, n) are the lists of each key, both sides together, if known."""
     one, two = listed(left, right, key, more)
-    wide = one.select(*key).unionByName(two.select(*key)).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > NARROW)
-    wide = written(wide.drop("n"))
-    if wide.limit(1).count():
-        wide = sized(wide)
-        part = lambda how: [x.join(wide, key, how) for x in (one, two)]
-        both = narrow_pairs(*part("anti"), key).unionByName(wide_pairs(*part("semi"), key))
-    else:
-        both = narrow_pairs(one, two, key)
-    return both.select(*key, "a", "b", *more, (F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("similarity"))
+    if counts is None:
+        counts = one.select(*key).unionByName(two.select(*key)).groupBy(*key).agg(F.count("*").alias("n"))
+    wide = written(counts.where(F.col("n") > NARROW).drop("n"))
+    columns = [*key, "a", "b", *more, (F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("similarity")]
+    if not wide.limit(1).count():
+        return narrow_pairs(one, two, key).select(columns), None
+    wide = sized(wide)
+    part = lambda how: [x.join(wide, key, how) for x in (one, two)]
+    return narrow_pairs(*part("anti"), key).select(columns), wide_pairs(*part("semi"), key).select(columns)
+
+
+def set_pairs(left: DataFrame, right: DataFrame, key: list[str], *more: str) -> DataFrame:
+    """(key, a, b, ``more``, similarity) of the pairs of ``left`` (key, a, refs) and ``right`` (key, b, refs) that share a member: Jaccard similarity of the lists as sets. ``more`` columns of either side come along."""
+    narrow, wide = narrow_and_wide(left, right, key, *more)
+    return narrow if wide is None else narrow.unionByName(wide)
 
 
 def key_terms(text: str = "content") -> Column:

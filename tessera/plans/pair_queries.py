@@ -60,7 +60,8 @@ def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 with x as (select report_id, det_idx as a, list_distinct(refs) as ra from {T.DET_SQL}), y as (select report_id, label_idx as b, list_distinct(refs) as rb from {T.GOLD_SQL})
 select report_id, a, b, round(len(list_intersect(ra, rb)) / (len(ra) + len(rb) - len(list_intersect(ra, rb))), 6) as similarity from x join y using (report_id) where len(list_intersect(ra, rb)) > 0""")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = P.set_pairs(T.detections(spark, sf_dir).withColumnRenamed("det_idx", "a"), T.gold(spark, sf_dir).withColumnRenamed("label_idx", "b"), ["report_id"])
+    d, g = T.sides(spark, sf_dir)
+    pairs = P.set_pairs(d.withColumnRenamed("det_idx", "a"), g.withColumnRenamed("label_idx", "b"), ["report_id"])
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -132,7 +133,7 @@ def assigned_sql() -> str:
 
 @query("partial_matches", f"with {BASE}, {assigned_sql()} select report_id, a, b, round(similarity, 6) as similarity from m")
 def partial_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.partial_matches(T.detections(spark, sf_dir), T.gold(spark, sf_dir), ["report_id"]).withColumn("similarity", F.round("similarity", 6))
+    return M.partial_matches(*T.sides(spark, sf_dir), ["report_id"]).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("score_partial", f"""with {BASE}, {assigned_sql()},

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, classify, graph, matching, sampling, stats, text
+from tessera.operators import audit, classify, graph, matching, pairs, sampling, stats, text
 from tessera.plans import edit_queries
 from tessera.sources import corpus, html
 
@@ -49,6 +49,40 @@ def test_assignment_is_that_of_a_sequential_pass(spark):
     assert {(r.a, r.b) for r in matching.assigned(df, ["k"]).collect()} == greedy(pairs)
 
 
+def lists_of_both_sides(spark):
+    """Random sides with ties, and nulls in keys, lists, texts and scopes; a key on each side that the other lacks."""
+    random.seed(11)
+    refs = lambda: random.choice([None, [], [random.choice(["a", "b", None]) for _ in range(3)], random.choices("abcdefg", k=3)])
+    key = lambda: random.choice([None, 1, 1, 2, 3])
+    det = [(key(), i, refs(), random.choice([None, "x", "y"]), 0.5) for i in range(120)] + [(8, 0, ["a"], "x", 0.5)]
+    gold = [(key(), i, refs(), random.choice("rs"), random.choice([None, "in", "out"]), "h") for i in range(90)] + [(9, 0, ["a"], "r", "in", "h")]
+    return spark.createDataFrame(det, DET), spark.createDataFrame(gold, GOLD)
+
+
+def test_few_lists_of_a_key_are_assigned_in_one_row(spark, monkeypatch):
+    """No rounds for keys of few lists; what they take is what the rounds take."""
+    det, gold = lists_of_both_sides(spark)
+    found = {}
+    for narrow in (0, 60, 1000):
+        monkeypatch.setattr(pairs, "NARROW", narrow)
+        if narrow == 1000:
+            monkeypatch.setattr(matching, "assigned", None)
+        found[narrow] = sorted(map(repr, matching.partial_matches(det, gold, ["report_id"]).collect()))
+    assert len(found[0]) > 10 and found[0] == found[60] == found[1000]
+
+
+def test_scores_of_scopes_apart_are_those_of_reports_of_their_own(spark, monkeypatch):
+    det, gold = lists_of_both_sides(spark)
+    scopes = gold.where("scope is not null")
+    apart = lambda x: x.withColumn("report_id", F.concat_ws("|", "report_id", "scope"))
+    own = apart(det.join(scopes.select("report_id", "scope").distinct(), "report_id"))
+    want = sorted(map(tuple, matching.partial_scores(own.drop("scope"), apart(scopes.where("report_id is not null")).drop("scope"), ["report_id"]).collect()))
+    for narrow in (0, 60, 1000):
+        monkeypatch.setattr(pairs, "NARROW", narrow)
+        got = matching.partial_scores(det, gold.where("report_id is not null"), ["report_id"], "scope")
+        assert sorted(map(tuple, apart(got).drop("scope").collect())) == want
+
+
 def test_merge_keeps_a_lone_side_as_it_is(spark):
     kind = "k int, ord int, refs array<string>, confidence double"
     one = spark.createDataFrame([(1, 0, ["a", "b"], 0.3), (1, 1, ["b", "a"], 0.2), (2, 0, ["a"], 0.1)], kind)

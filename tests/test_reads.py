@@ -57,3 +57,9 @@ def test_scores_gather_suppliers_once(spark, monkeypatch, name):
     monkeypatch.setattr(tables, "order_refs", lambda *args: calls.append(1) or real(*args))
     registry.QUERIES[name](spark, DIR)
     assert len(calls) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_suppliers_of_an_order_are_gathered_after_the_shuffle(spark):
+    plan = tables.order_refs(spark, DIR)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("partial_collect_list") < plan.index("RepartitionByExpression" if "RepartitionByExpression" in plan else "Exchange hashpartitioning(l_orderkey")
