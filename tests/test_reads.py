@@ -63,3 +63,11 @@ def test_scores_gather_suppliers_once(spark, monkeypatch, name):
 def test_suppliers_of_an_order_are_gathered_after_the_shuffle(spark):
     plan = tables.order_refs(spark, DIR)._jdf.queryExecution().sparkPlan().toString()
     assert plan.index("partial_collect_list") < plan.index("RepartitionByExpression" if "RepartitionByExpression" in plan else "Exchange hashpartitioning(l_orderkey")
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_scores_of_scopes_do_not_repeat_detections(spark):
+    """Detections meet the labels of all scopes at once, so both are shuffled by report alone."""
+    plan = registry.QUERIES["score_partial_by_scope"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "refs_a" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "scope" in line and "refs" in line]
+    assert plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") + plan.count("ShuffledHashJoin") == 2
