@@ -129,6 +129,20 @@ def test_sampled_pairs_are_permuted_once_by_many_tasks(spark, monkeypatch):
     assert pairs.distinct().count() == 199 * 100
 
 
+def test_tasks_of_sampled_pairs_do_not_grow_with_the_pairs(spark, monkeypatch):
+    """However many places there are, tasks are bounded, a row that is dealt out stands for more; looked up by broadcast or shuffled, all pairs are there."""
+    monkeypatch.setattr(sampling, "STRETCH", 16)
+    monkeypatch.setattr(sampling, "STRETCHES", 4)
+    monkeypatch.setattr(sampling, "TASKS", 8, raising=False)
+    docs = spark.range(200).select(F.when(F.col("id") < 150, "c").otherwise("d").alias("case_id"), (F.col("id") * 3).alias("doc_ord"))
+    pairs = sampling.sampled_pairs(docs, 1.0, 7)
+    assert pairs.rdd.getNumPartitions() <= 8
+    got = {(r.case_id, r.doc_a, r.doc_b) for r in pairs.collect()}
+    assert got == {("c" if b < 450 else "d", a, b) for a in range(0, 600, 3) for b in range(a + 3, 600, 3) if (a < 450) == (b < 450)}
+    monkeypatch.setattr(sampling, "LOOKED_UP", 0)
+    assert {(r.case_id, r.doc_a, r.doc_b) for r in sampling.sampled_pairs(docs, 1.0, 7).collect()} == got
+
+
 def test_lists_of_small_keys_are_met_whole(spark, monkeypatch):
     """Small keys are neither exploded nor shuffled beyond their key, wide ones go by member; repeats, nulls and empty lists count alike in both."""
     random.seed(5)
