@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, pairs, sampling, toppairs
+from tessera.plans import registry
 
 DOCS = "case_id string, doc_ord long, content string"
 
@@ -143,6 +144,28 @@ def test_tasks_of_sampled_pairs_do_not_grow_with_the_pairs(spark, monkeypatch):
     assert {(r.case_id, r.doc_a, r.doc_b) for r in sampling.sampled_pairs(docs, 1.0, 7).collect()} == got
 
 
+def test_pairs_are_drawn_from_few(spark, monkeypatch, tmp_path):
+    """Of all pairs that share a term only those that can win reach the choice, which stays that of all pairs."""
+    registry.load()
+    random.seed(4)
+    terms = ["Alpha Beta", "Gamma Delta", "NASA", "5 km", "Red Fox", "Big Dog"]
+    rows = [(i, "a" if i % 5 else "b", " x ".join(random.choices(terms, k=random.randint(1, 4)) if i % 3 else ["Alpha Beta"])) for i in range(400)] + [(900, "c", "NASA"), (901, "d", "NASA"), (902, "d", "NASA")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs.withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.select(F.col("source").alias("case_id"), F.col("doc_id").alias("doc_ord"), F.col("text").alias("content"))
+    every = pairs.key_term_pairs(docs)
+    want = {tuple(r) for r in sampling.chosen_pairs(every, 4, 9).collect()}
+    given, real = [], sampling.chosen_pairs
+    monkeypatch.setattr(sampling, "chosen_pairs", lambda x, *more: given.append(x) or real(x, *more))
+    assert {tuple(r) for r in registry.QUERIES["target_pairs"](spark, str(tmp_path)).collect()} == want
+    assert len(want) == 12 and given[0].count() < every.count() / 4
+    for name, value in {"MEET": 16, "SAMPLE": 2, "BEFORE": 1}.items():
+        monkeypatch.setattr(sampling, name, value)
+        assert {tuple(r) for r in registry.QUERIES["target_pairs"](spark, str(tmp_path)).collect()} == want
+    alike = {tuple(r) for r in every.collect()}
+    assert {tuple(r) for r in given[-1].collect()} <= alike
+
+
 def test_lists_of_small_keys_are_met_whole(spark, monkeypatch):
     """Small keys are neither exploded nor shuffled beyond their key, wide ones go by member; repeats, nulls and empty lists count alike in both."""
     random.seed(5)
